@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins, by name."""
 
-from collections.abc import Callable
+from . import documents, parsing, reconcile, serving  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
