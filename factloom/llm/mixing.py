@@ -102,6 +102,8 @@ def _shares(target: dict | float, tokens: dict) -> dict:
 def rake(cells: list[tuple], tokens: np.ndarray, mix: Mix) -> np.ndarray:
     """Probability of each (source, lang, topic) cell: margins fitted in turn, at most one each."""
     weight, aim = np.full(len(cells), mix.keep), mix.keep * tokens.sum()
+    if not cells:
+        return weight
     fits = []
     for k, name in enumerate(MARGINS):
         values = sorted({c[k] for c in cells})
