@@ -19,7 +19,7 @@ import numpy as np
 #: White space of either regex engine other than space and line feed.
 _ODD_SPACE = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")) + "]")
 #: Words in each of a cache's two generations.
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 500_000
 #: ASCII signs that end a run of Latin letters in every known pre-tokeniser.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
