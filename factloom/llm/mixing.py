@@ -22,6 +22,7 @@ table gives an empty result; further columns ride along in ``sample``.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -57,7 +58,7 @@ class Mix:
 def topic_of(text: str) -> int:
     """Bucket of a document: signs of its frequent words' hash bits, each weighed by its count."""
     counts = Counter(text.split())
-    common = sorted(((n, w) for w, n in counts.items() if len(w) > 3), reverse=True)[:_TOPIC_WORDS]
+    common = heapq.nlargest(_TOPIC_WORDS, [(n, w) for w, n in counts.items() if len(w) > 3])
     sums = [0] * _TOPIC_BITS
     for n, word in common:
         h = zlib.crc32(word.encode("utf-8", "replace"))
