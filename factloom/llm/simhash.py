@@ -18,6 +18,14 @@ both, so the members are posted under all their neighbours within ``d / 2``
 bits and linked through these, whose groups are bounded by the number of such
 neighbours.
 
+``similar_groups`` asks for a similarity of shingle sets instead of a number of
+bits. 64 bits tell such similarities apart too coarsely (at 0.8 about ten of
+them differ), so it takes 256 bits, whose share of differing bits estimates
+the angle between two documents' shingle counts within a few hundredths.
+There no number of shared bytes is guaranteed; fingerprints are posted under
+48 pairs of positional bytes, of which two documents at 0.8 miss all with a
+probability of about three per cent, at 0.9 hardly ever.
+
 Defined results: null or wordless texts have fingerprint zero and link like
 any other; rows without doc_id belong to their fingerprint's component, whose
 id is the smallest doc_id in it (null if it has none); repeated rows come out
@@ -91,33 +99,40 @@ def _postings(distinct: DataFrame, max_bits: int) -> DataFrame:
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def star(members: np.ndarray, max_bits: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, smallest member) of the clusters that links within ``max_bits`` form among unsigned ``members``.
+def star(members: np.ndarray, max_bits: int, least: int = 0, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root), as row numbers, of the clusters that links within ``max_bits`` form.
 
-    A breadth-first walk in blocks: each member is compared once with those
-    not yet reached, so a dense cluster costs little more than its size.
+    ``members``: distinct fingerprints, a row of unsigned 64-bit words each. A
+    breadth-first walk in blocks: each member is compared once with those not
+    yet reached, so a dense cluster costs little more than its size.
+    ``least`` is the number of shared positional bytes that the count filter asks for.
     """
-    members = np.unique(members)
-    left, tails, heads = members, [], []
+    left, tails, heads = np.arange(len(members)), [], []
     while len(left):
         root, front, left = left[0], left[:1], left[1:]
         while len(front) and len(left):
             reached = np.zeros(len(left), bool)
             for at in range(0, len(front), 64):
-                part = front[at : at + 64]
+                part = members[front[at : at + 64]]
                 open_at = np.flatnonzero(~reached)
                 for block in range(0, len(open_at), step):
                     rows = open_at[block : block + step]
-                    apart = part[:, None] ^ left[rows][None, :]
-                    # the count filter: shared positional bytes reach the guaranteed minimum
-                    shared = (apart.view(np.uint8).reshape(*apart.shape, 8) == 0).sum(2) >= 8 - max_bits
-                    near = shared & (np.bitwise_count(apart) <= max_bits)
+                    near = _near(part[:, None, :], members[left[rows]][None, :, :], max_bits, least)
                     reached[rows[near.any(0)]] = True
             front = left[reached]
             tails.append(front)
             heads.append(np.full(len(front), root))
             left = left[~reached]
-    return (np.concatenate(tails), np.concatenate(heads)) if tails else (members[:0], members[:0])
+    return (np.concatenate(tails), np.concatenate(heads)) if tails else (left, left)
+
+
+def _near(a: np.ndarray, b: np.ndarray, max_bits: int, least: int) -> np.ndarray:
+    """Which pairs share ``least`` positional bytes or more, the count filter, and differ in ``max_bits`` at most."""
+    apart = a ^ b
+    close = np.bitwise_count(apart).sum(-1, dtype=np.int64) <= max_bits
+    if least and close.any():
+        close &= (np.ascontiguousarray(apart).view(np.uint8) == 0).sum(-1) >= least
+    return close
 
 
 def _linked(max_bits: int, long_list: int):
@@ -133,9 +148,10 @@ def _linked(max_bits: int, long_list: int):
 
         def close() -> Iterator[pa.RecordBatch]:
             if not long and size > 1:
-                tails, heads = star(np.concatenate(held), max_bits)
+                members = np.concatenate(held)
+                tails, heads = star(members[:, None], max_bits, 8 - max_bits)
                 if len(tails):
-                    yield out(tails, heads)
+                    yield out(members[tails], members[heads])
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -196,11 +212,131 @@ def near_groups(docs: DataFrame, width: int = 4, max_bits: int = 4, long_list: i
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, max_bits: int = 4, long_list: int = LONG_LIST) -> DataFrame:
+#: Words of a wide fingerprint, and the pairs of its bytes that are posted.
+_WIDE = 4
+_PAIRS = [*((i, (i + 1) % 32) for i in range(32)), *((i, i + 11) for i in range(16))]
+#: Lists up to this length are compared in one sweep over many lists.
+_SHORT = 64
+#: Bits by which a link may exceed the estimate of its similarity, half a standard deviation, so that more of those just at it are found.
+_SLACK = 3
+_GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def _scrambled(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(30))) * _MIX_1
+    values = (values ^ (values >> np.uint64(27))) * _MIX_2
+    return values ^ (values >> np.uint64(31))
+
+
+def wide_fingerprint(raw: bytes, width: int) -> np.ndarray:
+    """256-bit SimHash as four words: every shingle's XXH64, scrambled four ways, votes on each bit."""
+    import xxhash
+
+    words = raw.translate(_UPPER).split()
+    if not words:
+        return np.zeros(_WIDE, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width])).tolist() if len(words) > width else [0]
+    stops = (ends[width - 1 :] - 1).tolist() if len(words) > width else [len(joined)]
+    votes, n = np.zeros(64 * _WIDE, np.int64), len(starts)
+    for at in range(0, n, _CHUNK):
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])], np.uint64)
+        many = np.stack([_scrambled(hashes + np.uint64((k * int(_GOLDEN)) & ((1 << 64) - 1))) for k in range(_WIDE)], axis=1)
+        votes += np.unpackbits(many.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > n).view(np.uint64)
+
+
+def node_of(prints: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each wide fingerprint (a row of words)."""
+    name = np.zeros(len(prints), np.uint64)
+    for k in range(_WIDE):
+        name = _scrambled(name + prints[:, k] + _GOLDEN)
+    return name
+
+
+def bits_for(similarity: float) -> int:
+    """Differing bits of a wide fingerprint at a Jaccard similarity of shingle sets of like size."""
+    return int(64 * _WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _swept(max_bits: int):
+    """Reads wide postings sorted by key; yields edges between nodes that are near."""
+
+    def close(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch | None:
+        """Edges of whole lists: short ones pair by pair in sweeps over all of them, long ones as stars."""
+        names = node_of(prints)
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        sizes = np.diff(cuts)
+        tails, heads = [], []
+        place = np.arange(len(keys)) - np.repeat(cuts[:-1], sizes)
+        size = np.repeat(sizes, sizes)
+        rows = np.flatnonzero((size > 1) & (size <= _SHORT))
+        for gap in range(1, _SHORT):
+            rows = rows[place[rows] + gap < size[rows]]
+            if not len(rows):
+                break
+            hit = rows[_near(prints[rows], prints[rows + gap], max_bits, 2)]
+            tails.append(names[hit + gap])
+            heads.append(names[hit])
+        for k in np.flatnonzero(sizes > _SHORT):
+            own = slice(cuts[k], cuts[k + 1])
+            a, b = star(prints[own], max_bits, 2)
+            tails.append(names[own][a])
+            heads.append(names[own][b])
+        a, b = np.concatenate(tails or [names[:0]]), np.concatenate(heads or [names[:0]])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]) if len(a) else None
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, prints = np.zeros(0, np.int32), np.zeros((0, _WIDE), np.uint64)
+        for batch in batches:
+            new = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(_WIDE)], axis=1)
+            keys, prints = np.concatenate((keys, batch.column(0).to_numpy())), np.concatenate((prints, new))
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on
+            if last:
+                found = close(keys[:last], prints[:last])
+                if found is not None:
+                    yield found
+                keys, prints = keys[last:], prints[last:]
+        if len(keys):
+            found = close(keys, prints)
+            if found is not None:
+                yield found
+
+    return sweep
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): component_id, the smallest doc_id reached over links of ``similarity`` or more."""
+    words = [f"w{k}" for k in range(_WIDE)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([wide_fingerprint(raw, width) for raw in blobs(batch.column("text"))], np.uint64).reshape(-1, _WIDE)
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (node_of(prints), *prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "node", *words])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = written(rows.mapInArrow(each, "doc_id long, node long, " + ", ".join(f"{w} long" for w in words)), "fingerprints")
+    distinct = written(prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(w).alias(w) for w in words]), "distinct")
+
+    def byte(i: int):
+        return F.shiftrightunsigned(F.col(words[i // 8]), 8 * (i % 8)).bitwiseAND(F.lit(255)).cast("int")
+
+    keys = [F.lit(n << 16).bitwiseOR(F.shiftleft(byte(i), 8)).bitwiseOR(byte(j)) for n, (i, j) in enumerate(_PAIRS)]
+    posted = distinct.select(F.explode(F.array(*keys)).alias("key"), *words).repartition("key").sortWithinPartitions("key")
+    edges = posted.mapInArrow(_swept(bits_for(similarity) + _SLACK), "a long, b long")
+    roots = components(edges)
+    rooted = distinct.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(rooted.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest doc_id; all columns stay.
 
     Rows without doc_id stay, and rows that share a doc_id share its fate.
     """
-    found = near_groups(docs, width, max_bits, long_list)
+    found = similar_groups(docs, width, similarity)
     leave = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__fl_id")).distinct()
     return docs.join(leave, docs["doc_id"].cast("long") == F.col("__fl_id"), "left_anti")
