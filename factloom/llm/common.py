@@ -1,56 +1,17 @@
-"""Shared plumbing: the shared scratch folder, text decoding."""
+"""Shared plumbing: tables, the scratch folder, file systems, text decoding."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package, table as load
+from ..session import scratch, shared_dir, ship_package, written
+from ..session import table as load
 
 __all__ = ["blobs", "file_system", "load", "scratch", "shared_dir", "ship_package", "strings", "written"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master, where every process sees the same disk, may fall back
-    to a temporary folder; on a cluster an unset folder is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Spark's file system deletes it when it closes."""
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    handle = jvm.org.apache.hadoop.fs.Path(path)
-    file_system = handle.getFileSystem(conf)
-    file_system.mkdirs(handle)
-    file_system.deleteOnExit(handle)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, reread: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name) + "/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def file_system(uri: str):
     """A pyarrow file system and the path in it, for a local path or a URI such as file: or hdfs:."""
     from pyarrow import fs
