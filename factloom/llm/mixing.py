@@ -75,7 +75,8 @@ def measured(docs: DataFrame, tokenizer: str, seed: int) -> DataFrame:
         for batch in batches:
             texts = strings(batch.column("text"))
             topics = pa.array([topic_of(t) for t in texts], pa.int32())
-            lengths = pa.array([len(enc.encode(t)) // enc.dtype.itemsize + 1 for t in texts], pa.int64())
+            counts = [np.diff(offsets) + 1 for _, offsets in enc.encode_column(batch.column("text"), counts_only=True)]
+            lengths = pa.array(np.concatenate(counts) if counts else [], pa.int64())
             columns = [*(batch.column(c) for c in ("doc_id", "source", "lang", "u")), topics, lengths]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "lang", "u", "topic", "n_tokens"])
 

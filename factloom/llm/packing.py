@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, written
+from .common import written
 from .tokens import encoder
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, shard int, local_rank long"
@@ -43,17 +43,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
         from pyspark import TaskContext
 
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         seen = [0] * (capacity + 1)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
-                ids = np.frombuffer(enc.encode(text) + end, enc.dtype).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    n = len(part)
-                    rows.append((doc_id, piece, start, n, zlib.crc32(part), shard, seen[n]))
-                    seen[n] += 1
+            rows, doc_ids = [], iter(batch.column("doc_id").to_pylist())
+            for ids, offsets in enc.encode_column(batch.column("text"), end_id):
+                wide, cuts = ids.astype("<u4"), offsets.tolist()
+                for low, high in zip(cuts, cuts[1:]):
+                    doc_id = next(doc_ids)
+                    for piece, start in enumerate(range(low, high, capacity)):
+                        part = wide[start : min(start + capacity, high)]
+                        n = len(part)
+                        rows.append((doc_id, piece, start - low, n, zlib.crc32(part), shard, seen[n]))
+                        seen[n] += 1
             columns = zip(*rows) if rows else [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "shard", "local_rank")

@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, written
+from .common import written
 from .tokens import encoder
 
 #: Lengths that share a block of the two-level suffix sum.
@@ -32,7 +33,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, end_tokens: int = 1) -> Da
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = encoder(tokenizer), Counter()
         for batch in batches:
-            lengths.update(len(enc.encode(text)) // enc.dtype.itemsize + end_tokens for text in strings(batch.column(0)))
+            for _, offsets in enc.encode_column(batch.column(0), counts_only=True):
+                lengths.update((np.diff(offsets) + end_tokens).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(lengths), pa.int64()), pa.array(list(lengths.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
     counted = docs.select("text").mapInArrow(count, "n_tokens long, n_docs long")

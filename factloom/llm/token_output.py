@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, scratch, strings, written
+from .common import file_system, scratch, written
 from .tokens import encoder
 
 #: Stands for a null doc_id in ``.ids`` files.
@@ -133,8 +133,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(tokenizer).encode, np.array([end_id], encoder(tokenizer).dtype).tobytes()
-        width, system, path = encoder(tokenizer).dtype.itemsize, *file_system(folder)
+        enc, (system, path) = encoder(tokenizer), file_system(folder)
         pid, sink, name = TaskContext.get().partitionId(), {}, ""
         n_docs = n_ids = 0
         try:
@@ -146,21 +145,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
                     name = f"shard-{pid:06d}-{uuid.uuid4().hex[:12]}"
                     sink = {x: system.open_output_stream(f"{path}/{name}.{x}") for x in ("bin", "off", "ids")}
                     sink["off"].write(np.zeros(1, "<i8").tobytes())
-                sizes, part, held = [], [], 0
-                for text in strings(batch.column("text")):
-                    ids = encode(text)
-                    part += (ids, end)
-                    sizes.append(len(ids) // width + 1)
-                    held += len(ids)
-                    if held > 1 << 23:
-                        sink["bin"].write(b"".join(part))
-                        part, held = [], 0
-                sink["bin"].write(b"".join(part))
-                offsets = n_ids + np.cumsum(sizes, dtype="<i8")
-                sink["off"].write(offsets.tobytes())
+                for ids, offsets in enc.encode_column(batch.column("text"), end_id):
+                    sink["bin"].write(ids.tobytes())
+                    sink["off"].write((n_ids + offsets[1:]).astype("<i8").tobytes())
+                    n_docs, n_ids = n_docs + len(offsets) - 1, n_ids + len(ids)
                 keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 sink["ids"].write(keys.astype("<i8").tobytes())
-                n_docs, n_ids = n_docs + len(sizes), int(offsets[-1])
         finally:
             for stream in sink.values():
                 stream.close()

@@ -12,14 +12,24 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import strings
 
 #: White space of either regex engine other than space and line feed.
 _ODD_SPACE = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")) + "]")
+_ODD_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
+#: Bytes of text that are split and joined at a time.
+_SLICE = 1 << 22
+#: How byte-level pre-tokenisers write a space.
+_SPACE_SIGN = "\u0120"
 #: Words in each of a cache's two generations.
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 250_000
 #: ASCII signs that end a run of Latin letters in every known pre-tokeniser.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -31,9 +41,9 @@ class _Words(dict):
     in use come back, so memory is bounded and frequent words stay.
     """
 
-    def __init__(self, encode, prefix="", folds_case=False):
+    def __init__(self, encode, model=None, code="H", prefix="", folds_case=False):
         super().__init__()
-        self.encode, self.prefix, self.folds_case, self.old, self.signs = encode, prefix, folds_case, {}, {}
+        self.encode, self.model, self.code, self.prefix, self.folds_case, self.old, self.signs = encode, model, code, prefix, folds_case, {}, {}
 
     def __missing__(self, word):
         ids = self.old.get(word)
@@ -44,10 +54,16 @@ class _Words(dict):
             elif self.folds_case and word.isascii() and (lower := word.lower()) != word:
                 ids = self[lower]
             else:
-                ids = self.encode(self.prefix + word)
+                plain = self.model is not None and word.isascii() and word.isalpha()
+                ids = self._letters(word) if plain else self.encode(self.prefix + word)
         self[word] = ids
         return ids
 
+    def _letters(self, word):
+        """A word of ASCII letters is one pre-token as it stands, so the library's model takes it directly."""
+        text = word.lower() if self.folds_case else _SPACE_SIGN + word if self.prefix else word
+        return array(self.code, [token.id for token in self.model.tokenize(text)]).tobytes()
+
     def _signs(self, run):
         ids = self.signs.get(run)
         if ids is None:
@@ -76,7 +92,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._kind = _kind(path)
         self._code = "H" if self.dtype.itemsize == 2 else "I"
-        self._bare, self._led = _Words(self.whole, folds_case=self._kind == "spaceless"), _Words(self.whole, " ")
+        model = None if self._kind == "other" else self._tokenizer.model
+        self._bare = _Words(self.whole, model, self._code, folds_case=self._kind == "spaceless")
+        self._led = _Words(self.whole, model, self._code, " ")
         self._line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -102,6 +120,82 @@ class Encoder:
         return self.whole(text)
 
 
+    def encode_column(self, column: pa.Array, end: int | None = None, counts_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of a column of texts and the offsets of each text in them, in slices of rows; null is empty.
+
+        ``end`` is appended to every text. Words are split and numbered by
+        Arrow, so Python only sees each distinct word of a slice. With
+        ``counts_only`` the ids are left out.
+        """
+        column = column.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + _SLICE, "right")))
+            yield self._slice(column.slice(at, stop - at), end, counts_only)
+            at = stop
+
+    def _slice(self, texts: pa.Array, end: int | None, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            plain = self._plain(texts)
+        except pa.ArrowInvalid:  # not UTF-8
+            plain = np.zeros(len(texts), bool)
+        if plain.all():
+            return self._joined(texts, end, counts_only)
+        fast, offsets = self._joined(texts.filter(pa.array(plain)), end, False)
+        nth, parts, tail = 0, [], b"" if end is None else np.array([end], self.dtype).tobytes()
+        for text, is_plain in zip(strings(texts), plain):
+            parts.append(fast[offsets[nth] : offsets[nth + 1]] if is_plain else np.frombuffer(self.whole(text) + tail, self.dtype))
+            nth += bool(is_plain)
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """Which texts may be cut at single spaces and line feeds."""
+        if self._kind != "space_led":
+            return np.full(len(texts), self._kind == "spaceless")
+        odd = pc.match_substring_regex(texts, _ODD_CLASS)
+        for pair in ("  ", "\n\n", " \n", "\n "):
+            odd = pc.or_(odd, pc.match_substring(texts, pair))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def _joined(self, texts: pa.Array, end: int | None, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
+        self._bare.turn()
+        self._led.turn()
+        # marks that no plain text holds: of the end, and of a text's first word, which has no space before it
+        if self._kind == "spaceless":
+            marked, last = pc.replace_substring(texts, "\n", " "), "\n"
+        else:
+            marked, last = pc.binary_join_element_wise(_text("\r"), pc.replace_substring(texts, "\n", " \n"), _text("")), "\r\r"
+        if end is not None:
+            marked = pc.binary_join_element_wise(marked, _text(last), _text(" "))
+        words = pc.split_pattern(marked, " ")
+        coded = words.flatten().dictionary_encode()
+        tail = b"" if end is None else np.array([end], self.dtype).tobytes()
+        known = [tail if w == last else self._word(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        index = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[index])))
+        offsets = words.offsets.to_numpy()
+        offsets = ends[offsets - offsets[0]]
+        if counts_only:
+            return np.zeros(0, self.dtype), offsets
+        starts = np.cumsum(sizes) - sizes
+        take = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes[index]) + np.arange(ends[-1], dtype=np.int32)  # of one slice
+        return np.frombuffer(b"".join(known), self.dtype)[take], offsets
+
+    def _word(self, word: str) -> bytes:
+        if self._kind == "spaceless":
+            return self._bare[word]
+        if word[:1] == "\n":
+            return self._line + self._bare[word[1:]]
+        return self._bare[word[1:]] if word[:1] == "\r" else self._led[word]
+
+
+def _text(value: str) -> pa.Scalar:
+    return pa.scalar(value, pa.large_string())
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """The worker's own encoder for a tokenizer file."""
@@ -111,7 +205,7 @@ def encoder(path: str) -> Encoder:
 def _kind(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
-    if any(x.get("lstrip") or x.get("rstrip") or x.get("normalized") or re.search(r"\s", x["content"]) for x in parts["added_tokens"]):
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("normalized") or re.search(r"\s", x["content"]) or x["content"].isalpha() for x in parts["added_tokens"]):
         return "other"
     pre, normal = parts["pre_tokenizer"] or {}, parts["normalizer"]
     steps = pre.get("pretokenizers", [])

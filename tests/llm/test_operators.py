@@ -60,6 +60,17 @@ def test_encoder_equals_the_library(path, texts):
     enc = tokens.Encoder(path)
     for text in [t or "" for t in texts] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(6000)]:
         assert enc.encode(text) == enc.whole(text), repr(text)
+    many = [None, *texts, *("".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(6000))]
+    for end in (None, 2):
+        at, tail = 0, b"" if end is None else np.array([end], enc.dtype).tobytes()
+        for ids, offsets in enc.encode_column(pa.array(many), end):
+            for low, high in zip(offsets, offsets[1:]):
+                assert ids[low:high].tobytes() == enc.whole(many[at] or "") + tail, repr(many[at])
+                at += 1
+        assert at == len(many)
+    plain = [t for t in many if t and "  " not in t]
+    counts = np.concatenate([np.diff(o) for _, o in enc.encode_column(pa.array(plain), counts_only=True)])
+    assert counts.tolist() == [len(enc.whole(t)) // enc.dtype.itemsize for t in plain]
 
 
 def test_token_output_round_trip(spark, docs, empty):
@@ -270,9 +281,30 @@ def test_components_of_paths_and_stars(spark):
     assert all(roots[k] == 100 for k in range(100, 181)) and all(roots[k] == 7 for k in range(1000, 1040)) and 5 not in roots
 
 
+def test_similar_groups(spark, docs, empty):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    rows, family = [], {}
+    for f in range(30):
+        base = [rng.choice(vocabulary) for _ in range(400)]
+        for k in range(rng.choice([1, 2, 5, 90 if f == 3 else 3])):
+            words = list(base)
+            for _ in range(2):  # two of 400 words: at least 0.95 of all windows stay
+                words[rng.randrange(400)] = rng.choice(vocabulary)
+            family[len(rows)] = f
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for d, f in family.items():
+        first[f] = min(d, first.get(f, d))
+    assert got == {d: first[f] for d, f in family.items()}
+    odd = simhash.similar_groups(docs).collect()
+    assert len(odd) == docs.count() and simhash.similar_groups(empty).count() == 0
+
+
 def test_keep_one(spark, docs, empty):
-    kept = simhash.keep_one(docs, 5)
-    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs, 5).collect() if r.doc_id is not None}
+    kept = simhash.keep_one(docs)
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect() if r.doc_id is not None}
     ids = {r.doc_id for r in kept.collect()}
     assert ids - {None} == set(groups.values()) and kept.columns == docs.columns
     assert simhash.keep_one(empty).count() == 0
@@ -463,7 +495,7 @@ def test_pipeline(spark, sf_dir):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert ids[1] == {r.doc_id for r in quality_rules.judge(docs).collect() if r.kept}
     assert ids[2] == {r.doc_id for r in exact_dedup.groups(seen[1]).collect() if r.kept}
-    assert ids[3] == {r.component_id for r in simhash.near_groups(seen[2], 5).collect()}
+    assert ids[3] == {r.component_id for r in simhash.similar_groups(seen[2]).collect()}
     assert ids[4] <= ids[3] and len(ids[4]) > 0.7 * len(ids[3])
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in packed} == ids[4]
