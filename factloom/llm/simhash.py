@@ -216,7 +216,9 @@ def near_groups(docs: DataFrame, width: int = 4, max_bits: int = 4, long_list: i
 _WIDE = 4
 _PAIRS = [*((i, (i + 1) % 32) for i in range(32)), *((i, i + 11) for i in range(16))]
 #: Lists up to this length are compared in one sweep over many lists.
-_SHORT = 64
+_SHORT = 16
+#: Longer lists are walked breadth first instead of compared pair by pair.
+_DENSE = 2048
 #: Bits by which a link may exceed the estimate of its similarity, half a standard deviation, so that more of those just at it are found.
 _SLACK = 3
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -260,15 +262,30 @@ def bits_for(similarity: float) -> int:
     return int(64 * _WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def _settled(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row that each of ``n`` rows reaches over the links a to b."""
+    roots = np.arange(n)
+    while True:
+        following = roots.copy()
+        np.minimum.at(following, a, roots[b])
+        np.minimum.at(following, b, roots[a])
+        following = following[following]
+        if (following == roots).all():
+            return roots
+        roots = following
+
+
 def _swept(max_bits: int):
     """Reads wide postings sorted by key; yields edges between nodes that are near."""
 
     def close(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch | None:
-        """Edges of whole lists: short ones pair by pair in sweeps over all of them, long ones as stars."""
+        """Edges of whole lists: each member to the smallest of its cluster in the list."""
         names = node_of(prints)
+        order = np.lexsort((names, keys))
+        keys, prints, names = keys[order], prints[order], names[order]
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         sizes = np.diff(cuts)
-        tails, heads = [], []
+        low, high, tails, heads = [], [], [], []
         place = np.arange(len(keys)) - np.repeat(cuts[:-1], sizes)
         size = np.repeat(sizes, sizes)
         rows = np.flatnonzero((size > 1) & (size <= _SHORT))
@@ -277,14 +294,26 @@ def _swept(max_bits: int):
             if not len(rows):
                 break
             hit = rows[_near(prints[rows], prints[rows + gap], max_bits, 2)]
-            tails.append(names[hit + gap])
-            heads.append(names[hit])
+            low.append(hit)
+            high.append(hit + gap)
         for k in np.flatnonzero(sizes > _SHORT):
-            own = slice(cuts[k], cuts[k + 1])
-            a, b = star(prints[own], max_bits, 2)
-            tails.append(names[own][a])
-            heads.append(names[own][b])
-        a, b = np.concatenate(tails or [names[:0]]), np.concatenate(heads or [names[:0]])
+            first, own = cuts[k], prints[cuts[k] : cuts[k + 1]]
+            if len(own) > _DENSE:
+                a, b = star(own, max_bits, 2)
+                tails.append(a + first)
+                heads.append(b + first)
+                continue
+            for at in range(0, len(own), 256):
+                a, b = np.nonzero(_near(own[at : at + 256, None, :], own[None, at:, :], max_bits, 2))
+                low.append(a[a < b] + at + first)
+                high.append(b[a < b] + at + first)
+        if low:
+            a, b = np.concatenate(low), np.concatenate(high)
+            roots = _settled(a, b, len(keys))
+            met = np.unique(b)
+            tails.append(met)
+            heads.append(roots[met])
+        a, b = (names[np.concatenate(x)] if x else names[:0] for x in (tails, heads))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]) if len(a) else None
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
