@@ -19,12 +19,16 @@ bits and linked through these, whose groups are bounded by the number of such
 neighbours.
 
 ``similar_groups`` asks for a similarity of shingle sets instead of a number of
-bits. 64 bits tell such similarities apart too coarsely (at 0.8 about ten of
-them differ), so it takes 256 bits, whose share of differing bits estimates
-the angle between two documents' shingle counts within a few hundredths.
-There no number of shared bytes is guaranteed; fingerprints are posted under
-48 pairs of positional bytes, of which two documents at 0.8 miss all with a
-probability of about three per cent, at 0.9 hardly ever.
+bits. No number of differing bits or shared bytes follows from a Jaccard
+similarity, so the fingerprints, of 256 bits there and posted under 48 pairs of
+positional bytes, only propose pairs. What they miss is found by an index that
+loses none: of two sets of similarity ``t``, in any one order of all shingles,
+the first ``n - ceil(t n) + 1`` of each (``n`` its size) share a shingle, so
+sets are posted under these. Shingles that many texts hold come last in that
+order, which keeps lists short. Pairs in a list whose sizes allow ``t`` and
+that aren't linked yet are candidates. Every candidate of either index is
+verified on the shingle sets themselves before it links. Sets hold 64-bit
+hashes of shingles.
 
 Defined results: null or wordless texts have fingerprint zero and link like
 any other; rows without doc_id belong to their fingerprint's component, whose
@@ -219,7 +223,7 @@ _PAIRS = [*((i, (i + 1) % 32) for i in range(32)), *((i, i + 11) for i in range(
 _SHORT = 16
 #: Longer lists are walked breadth first instead of compared pair by pair.
 _DENSE = 2048
-#: Bits by which a link may exceed the estimate of its similarity, half a standard deviation, so that more of those just at it are found.
+#: Bits by which a proposed pair may exceed the estimate of its similarity, half a standard deviation.
 _SLACK = 3
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -230,21 +234,27 @@ def _scrambled(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def wide_fingerprint(raw: bytes, width: int) -> np.ndarray:
-    """256-bit SimHash as four words: every shingle's XXH64, scrambled four ways, votes on each bit."""
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, in its order; a text of fewer words is one shingle."""
     import xxhash
 
     words = raw.translate(_UPPER).split()
     if not words:
-        return np.zeros(_WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-width])).tolist() if len(words) > width else [0]
-    stops = (ends[width - 1 :] - 1).tolist() if len(words) > width else [len(joined)]
-    votes, n = np.zeros(64 * _WIDE, np.int64), len(starts)
+    starts, stops = [0, *ends[:-width].tolist()], (ends[width - 1 :] - 1).tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256-bit SimHash as four words: every shingle's hash, scrambled four ways, votes on each bit."""
+    votes, n = np.zeros(64 * _WIDE, np.int64), len(hashes)
     for at in range(0, n, _CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])], np.uint64)
-        many = np.stack([_scrambled(hashes + np.uint64((k * int(_GOLDEN)) & ((1 << 64) - 1))) for k in range(_WIDE)], axis=1)
+        part = hashes[at : at + _CHUNK]
+        many = np.stack([_scrambled(part + np.uint64((k * int(_GOLDEN)) & ((1 << 64) - 1))) for k in range(_WIDE)], axis=1)
         votes += np.unpackbits(many.view(np.uint8), axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * votes > n).view(np.uint64)
 
@@ -335,30 +345,165 @@ def _swept(max_bits: int):
     return sweep
 
 
+#: Texts from which the order of shingles is estimated, and the most shingles that come last. The order bears on cost alone.
+_SAMPLE, _COMMON = 8192, 1 << 16
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that several texts of a sample hold, and the rank of each by number of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [np.unique(shingle_hashes(raw, width)) for batch in batches for raw in blobs(batch.column("text"))]
+        if sets:
+            values, times = np.unique(np.concatenate(sets), return_counts=True)
+            often = np.flatnonzero(times > 1)
+            often = often[np.argsort(-times[often], kind="stable")[:_COMMON]]
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often])], names=["shingle", "times"])
+
+    part = max(1, docs.count() // _SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text").repartition(4)
+    counted = sample.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    rows = counted.orderBy(F.desc("times"), "shingle").limit(_COMMON).collect()
+    values = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], (len(rows) - order).astype(np.int64)
+
+
+def first_shingles(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set (ascending hashes) under which it is posted: any set as similar shares one of its own."""
+    n = len(found)
+    take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    values, rank = common
+    if len(values):
+        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+        last = values[at] == found
+        if last.any():
+            late = found[last]
+            found = np.concatenate((found[~last], late[np.argsort(rank[at[last]])]))
+    return found[:take]
+
+
+def _crossed(similarity: float):
+    """Reads set postings (key, node, root, n) sorted by key; yields pairs of one list, of different roots, whose sizes allow ``similarity``."""
+
+    def pairs(low: np.ndarray, high: np.ndarray, nodes, roots, sizes) -> pa.RecordBatch | None:
+        fit = (roots[low] != roots[high]) & (np.minimum(sizes[low], sizes[high]) >= similarity * np.maximum(sizes[low], sizes[high]) - 1e-9)
+        a, b = nodes[low[fit]], nodes[high[fit]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]) if len(a) else None
+
+    def close(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = table[np.lexsort((table[:, 1], table[:, 0]))]
+        table = table[np.concatenate(([True], (table[1:, :2] != table[:-1, :2]).any(1)))]
+        keys, nodes, roots, sizes = np.ascontiguousarray(table.T)
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        counts = np.diff(cuts)
+        place, size = np.arange(len(keys)) - np.repeat(cuts[:-1], counts), np.repeat(counts, counts)
+        rows = np.flatnonzero((size > 1) & (size <= _SHORT))
+        for gap in range(1, _SHORT):
+            rows = rows[place[rows] + gap < size[rows]]
+            if not len(rows):
+                break
+            found = pairs(rows, rows + gap, nodes, roots, sizes)
+            if found is not None:
+                yield found
+        for k in np.flatnonzero(counts > _SHORT):
+            first, end = cuts[k], cuts[k + 1]
+            if (roots[first:end] == roots[first]).all():
+                continue
+            for at in range(first, end - 1):
+                found = pairs(np.full(end - at - 1, at), np.arange(at + 1, end), nodes, roots, sizes)
+                if found is not None:
+                    yield found
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
+            last = int(np.searchsorted(new[:, 0], new[-1, 0]))  # the last list may go on
+            if held and (last or held[-1][-1, 0] != new[0, 0]):
+                yield from close(np.concatenate((*held, new[:last])))
+                held = []
+            elif last:
+                yield from close(new[:last])
+            held.append(new[last:])
+        if held:
+            yield from close(np.concatenate(held))
+
+    return sweep
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of ``nodes`` (node, text_id) whose shingle sets have the Jaccard similarity or more."""
+    asked = written(pairs.where("a <> b").distinct(), "candidates")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(raw, width)).tobytes() for raw in blobs(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate((x, y)), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                good.append(shared >= similarity * (len(both) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_id"), "node")
+    texts = docs.select(F.xxhash64("text").alias("text_id"), "text").join(wanted, "text_id").groupBy("node").agg(F.first("text").alias("text"))
+    sets = written(texts.mapInArrow(gather, "node long, shingles binary"), "sets")
+    one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return written(asked.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): component_id, the smallest doc_id reached over links of ``similarity`` or more."""
     words = [f"w{k}" for k in range(_WIDE)]
+    common = common_shingles(docs, width)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([wide_fingerprint(raw, width) for raw in blobs(batch.column("text"))], np.uint64).reshape(-1, _WIDE)
-            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (node_of(prints), *prints.T)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "node", *words])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(rows.mapInArrow(each, "doc_id long, node long, " + ", ".join(f"{w} long" for w in words)), "fingerprints")
-    distinct = written(prints.groupBy("node").agg(F.min("doc_id").alias("low"), *[F.first(w).alias(w) for w in words]), "distinct")
+            prints, named, sizes, first = [], [], [], []
+            for raw in blobs(batch.column("text")):
+                hashes = shingle_hashes(raw, width)
+                found = np.unique(hashes)
+                prints.append(wide_fingerprint(hashes))
+                named.append(np.add.reduce(_scrambled(found + _GOLDEN), dtype=np.uint64))
+                sizes.append(len(found))
+                first.append(first_shingles(found, similarity, common).view(np.int64))
+            prints = np.array(prints, np.uint64).reshape(-1, _WIDE)
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (np.array(named, np.uint64), node_of(prints), *prints.T)]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), *columns, pa.array(sizes, pa.int64()), keys], names=["doc_id", "text_id", "node", "print", *words, "n", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    schema = "doc_id long, text_id long, node long, print long, " + ", ".join(f"{w} long" for w in words) + ", n long, keys array<long>"
+    prints = written(rows.mapInArrow(each, schema), "fingerprints")
+    # equal shingle sets are one node
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("text_id").alias("text_id"), F.min("print").alias("print")), "nodes")
+    distinct = written(prints.groupBy("print").agg(F.min("node").alias("node"), *[F.first(w).alias(w) for w in words]), "distinct")
 
     def byte(i: int):
         return F.shiftrightunsigned(F.col(words[i // 8]), 8 * (i % 8)).bitwiseAND(F.lit(255)).cast("int")
 
     keys = [F.lit(n << 16).bitwiseOR(F.shiftleft(byte(i), 8)).bitwiseOR(byte(j)) for n, (i, j) in enumerate(_PAIRS)]
     posted = distinct.select(F.explode(F.array(*keys)).alias("key"), *words).repartition("key").sortWithinPartitions("key")
-    edges = posted.mapInArrow(_swept(bits_for(similarity) + _SLACK), "a long, b long")
-    roots = components(edges)
-    rooted = distinct.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    close = posted.mapInArrow(_swept(bits_for(similarity) + _SLACK), "a long, b long").distinct()
+    of_print = distinct.select("print", "node")
+    close = close.join(of_print.toDF("a", "x"), "a").join(of_print.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    alike = nodes.join(of_print.toDF("print", "x"), "print").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    linked = _verified(close.union(alike), nodes, docs, width, similarity)
+    listed = prints.select("node", "n", "keys").join(components(linked), "node", "left").select(F.explode("keys").alias("key"), "node", F.coalesce("root", "node").alias("root"), "n")
+    missed = listed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossed(similarity), "a long, b long")
+    roots = components(linked.union(_verified(missed, nodes, docs, width, similarity)))
+    rooted = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(rooted.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

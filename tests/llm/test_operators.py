@@ -302,6 +302,40 @@ def test_similar_groups(spark, docs, empty):
     assert len(odd) == docs.count() and simhash.similar_groups(empty).count() == 0
 
 
+def test_similar_groups_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 150, 400)))]
+        for _ in range(3):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 30)):  # similarities of 0.6 to 1
+                words[rng.randrange(len(words))] = f"w{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(words)))
+    line = [f"s{k}" for k in range(70)]
+    rows += [(len(rows) + k, " ".join([*line, *(f"w{rng.randrange(3000)}" for _ in range(rng.randint(5, 60)))])) for k in range(60)]  # share one passage
+    rows += [(len(rows) + k, x) for k, x in enumerate(("", None, " ", "one two", "One  two", "one two three"))]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    near = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            union = len(sets[a]) + len(sets[b]) - shared
+            near += 0.75 * union <= shared < 0.85 * union
+            if 10 * shared >= 8 * union:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near > 50 and got == {k: top(k) for k in range(len(rows))}
+
+
 def test_keep_one(spark, docs, empty):
     kept = simhash.keep_one(docs)
     groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect() if r.doc_id is not None}
