@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +82,9 @@ def greedy_matching(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | N
 
     Ties go to the smaller label_ord, then fact_ord. Each round takes all edges
     that come first for both their ends, which are just those that the
-    sequential choice would take, and drops the edges of used ends.
+    sequential choice would take, and drops the edges of used ends. Tied blocks
+    and descending chains may yield one pair a round; what ``rounds`` leave over
+    is chosen one by one in order, in one task that holds the used ends only.
     """
     keep = keep or _kept
     order = [F.desc("similarity"), "label_ord", "fact_ord"]
@@ -93,9 +96,25 @@ def greedy_matching(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | N
             break
         taken = best if taken is None else taken.unionByName(best)
         left = keep(left.join(best.select("label_ord"), "label_ord", "left_anti").join(best.select("fact_ord"), "fact_ord", "left_anti"))
+    else:
+        rest = keep(left.repartition(1).sortWithinPartitions(*order).mapInArrow(_chosen, left.schema))
+        taken = rest if taken is None else taken.unionByName(rest)
     return edges.select("label_ord", "fact_ord", "similarity").limit(0) if taken is None else taken
 
 
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges in order, those whose ends no earlier one has used."""
+    labels, facts = set(), set()
+    for batch in batches:
+        good = []
+        for label, fact in zip(batch.column("label_ord").to_pylist(), batch.column("fact_ord").to_pylist()):
+            good.append(label not in labels and fact not in facts)
+            if good[-1]:
+                labels.add(label)
+                facts.add(fact)
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+
 def _kept(df: DataFrame) -> DataFrame:
     return written(df, "edges")
 

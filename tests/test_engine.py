@@ -202,6 +202,14 @@ def test_greedy_rounds_equal_the_sequential_choice(spark):
         assert {(r.label_ord, r.fact_ord) for r in got.collect()} == greedy(edges)
 
 
+def test_greedy_matching_finishes_what_the_rounds_leave(spark):
+    tied = [(1.0, *p) for p in itertools.product(range(7), range(9))]
+    chain = [(1 - k / 100, 20 + (k + 1) // 2, 20 + k // 2) for k in range(20)]
+    frame = spark.createDataFrame([(a, b, s) for s, a, b in tied + chain], "label_ord long, fact_ord long, similarity double")
+    got = {(r.label_ord, r.fact_ord) for r in evaluation.greedy_matching(frame, rounds=2).collect()}
+    assert got == greedy(tied + chain) and len(got) > 7
+
+
 def test_evaluation(spark):
     facts = normalize_facts(frame(spark, fact("a", "5", "₹ Cr"), fact("a", "7", "percent", attribute="margin"), fact("a", "x", attribute="headcount"), fact("a", "9", "₹", attribute="tax")))
     facts = facts.withColumn("fact_ord", F.when(F.col("attribute") == "revenue", 0).when(F.col("attribute") == "margin", 1).when(F.col("attribute") == "tax", 3).otherwise(2).cast("long"))
