@@ -46,12 +46,11 @@ def normalized_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's turn as a quote with its second word left out, sought in its conversation; first sentences only are quoted."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), "role", "text")
-    sentence = F.regexp_extract("text", r"^[^.\n]*\.?", 0)
-    words = F.split(sentence, " ")
-    bent = F.array_join(F.concat(F.slice(words, 1, 1), F.slice(words, 3, 1000)), " ")
-    quotes = turns.where((F.col("role") == "user") & (F.size(words) > 6)).select("doc_id", bent.alias("quote"), "page_index")
+    """Every turn, whole, as a quote with its second word left out, sought in its conversation."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), "text")
+    words = F.split("text", " ")
+    bent = F.array_join(F.concat(F.slice(words, 1, 1), F.slice(words, 3, F.greatest(F.size(words), F.lit(1)))), " ")
+    quotes = turns.select("doc_id", bent.alias("quote"), "page_index")
     found = grounding.ground_quotes(quotes, turns.select("doc_id", "page_index", "text"))
     return found.select("doc_id", "page_index", "found_on", "grounding_method", F.round("score", 6).alias("score"), "matched_text")
 

@@ -210,6 +210,26 @@ def test_greedy_matching_finishes_what_the_rounds_leave(spark):
     assert got == greedy(tied + chain) and len(got) > 7
 
 
+def test_fuzzy_grounding_quotes_whole_turns(spark, tmp_path):
+    from factloom.operators.grounding import fuzzy_window
+    from factloom.plans.documents import fuzzy_grounding
+
+    turns = [
+        (1, 0, "user", "Short one. The second sentence of this turn goes on for a good while.\nAnd a third line follows it here."),
+        (1, 1, "assistant", "Replies are quoted too, with all of their sentences. This is the last of them."),
+        (2, 0, "user", "Yes"),
+        (2, 1, "user", " ".join(f"w{k}" for k in range(1200))),
+    ]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(int(r.doc_id), r.page_index): r for r in fuzzy_grounding(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(c, t) for c, t, _, _ in turns} and got[2, 0].grounding_method == "search_for"
+    for c, t, _, text in turns:
+        words = text.split(" ")
+        if len(words) > 1:
+            score, matched = fuzzy_window(" ".join(words[:1] + words[2:]), text, 0.85)
+            assert got[c, t].found_on == t and (got[c, t].score, got[c, t].matched_text) == (round(score, 6), matched)
+
+
 def test_evaluation(spark):
     facts = normalize_facts(frame(spark, fact("a", "5", "₹ Cr"), fact("a", "7", "percent", attribute="margin"), fact("a", "x", attribute="headcount"), fact("a", "9", "₹", attribute="tax")))
     facts = facts.withColumn("fact_ord", F.when(F.col("attribute") == "revenue", 0).when(F.col("attribute") == "margin", 1).when(F.col("attribute") == "tax", 3).otherwise(2).cast("long"))
