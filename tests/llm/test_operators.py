@@ -464,6 +464,13 @@ def test_licenses(spark, docs, empty):
         licenses.known_digests((("A", "same text"), ("B", "Same, text.")))
 
 
+def test_licenses_of_any_size():
+    text = dict(LICENSE_TEXTS)["BSD-3-Clause"]
+    assert licenses.known_digests()[licenses.digest(b"\n#" * 600_000 + text.encode())] == "BSD-3-Clause"
+    lines = [f"{k % 90}) point of plain words" for k in range(8000)]
+    assert licenses.canonical("\n".join(lines).encode()) == b" ".join([b"point of plain words"] * 8000)
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(9)
     rows = []
