@@ -48,8 +48,9 @@ class Bands:
     """Limits of the compression ratio (bytes in, bytes out) at zstandard ``level``.
 
     ``by_length``: (least bytes, lowest ratio, highest ratio), ascending.
-    ``chunk_band`` holds for every full chunk of ``chunk_bytes``; a document
-    fails when more than ``bad_chunk_share`` of its chunks lie outside.
+    ``chunk_band`` holds for every chunk of ``chunk_bytes``, the last one ending
+    with the text; shorter texts have none. A document fails when more than
+    ``bad_chunk_share`` of its chunks lie outside.
     """
 
     by_length: tuple[tuple[int, float, float], ...] = (
@@ -108,15 +109,17 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def compression_verdict(raw: bytes, compressor, bands: Bands) -> tuple[bool, float, int, int]:
-    """Whether the bands accept a text, its ratio, its full chunks and those outside the band."""
+    """Whether the bands accept a text, its ratio, its chunks and those outside the band."""
     if not raw:
         return True, 1.0, 0, 0
     ratio = len(raw) / len(compressor.compress(raw))
     _, low, high = next(b for b in reversed(bands.by_length) if len(raw) >= b[0])
     size, (least, most) = bands.chunk_bytes, bands.chunk_band
-    chunks = len(raw) // size
-    bad = sum(not least <= size / len(compressor.compress(raw[k * size : (k + 1) * size])) <= most for k in range(chunks))
-    return low <= ratio <= high and bad <= bands.bad_chunk_share * chunks, ratio, chunks, bad
+    starts = list(range(0, len(raw) - size + 1, size))
+    if starts and len(raw) % size:
+        starts.append(len(raw) - size)  # the rest, in a chunk that ends with the text
+    bad = sum(not least <= size / len(compressor.compress(raw[at : at + size])) <= most for at in starts)
+    return low <= ratio <= high and bad <= bands.bad_chunk_share * len(starts), ratio, len(starts), bad
 
 
 def _judged(bands: Bands):

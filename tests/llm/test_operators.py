@@ -104,6 +104,19 @@ def brute_rules(text):
     return len(words), sum(len(w.decode()) for w in words), sum(raw.count(bytes([c])) for c in b"#*$%&|<>"), dup, len(covered)
 
 
+def test_quality_rules_test_the_end_of_a_text():
+    import zstandard
+
+    rng = random.Random(13)
+    prose = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000))
+    compressor, bands = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False), quality_rules.Bands()
+    assert quality_rules.compression_verdict(prose[:8100].encode(), compressor, bands)[::2] == (True, 2)
+    good, ratio, chunks, bad = quality_rules.compression_verdict((prose[:5000] + ("the same phrase once more " * 200)[:3000]).encode(), compressor, bands)
+    assert not good and ratio < 3.5 and (chunks, bad) == (2, 1)
+    assert quality_rules.compression_verdict(prose[:8192].encode(), compressor, bands)[2] == 2
+    assert quality_rules.compression_verdict(prose[:4095].encode(), compressor, bands)[2] == 0
+
+
 def test_quality_rules(spark, docs, empty, texts):
     import zstandard
 
