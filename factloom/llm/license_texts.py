@@ -1,5 +1,7 @@
 """Public licence texts and notices, by SPDX identifier."""
 
+from .license_full_texts import FULL_TEXTS
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -64,4 +66,5 @@ LICENSE_TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("Unlicense", _UNLICENSE),
     ("Zlib", _ZLIB),
+    *FULL_TEXTS,
 )

@@ -477,6 +477,16 @@ def test_licenses(spark, docs, empty):
         licenses.known_digests((("A", "same text"), ("B", "Same, text.")))
 
 
+def test_full_license_texts():
+    known = licenses.known_digests()
+    for name, spdx in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+        path = f"/usr/share/common-licenses/{name}"
+        if os.path.exists(path):
+            with open(path, "rb") as file:
+                assert known[licenses.digest(file.read())] == spdx
+    assert {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0"} <= set(known.values())
+
+
 def test_licenses_of_any_size():
     text = dict(LICENSE_TEXTS)["BSD-3-Clause"]
     assert licenses.known_digests()[licenses.digest(b"\n#" * 600_000 + text.encode())] == "BSD-3-Clause"
