@@ -1,20 +1,22 @@
 """Operator 8: exact dedup through a two-pass Bloom filter, in DataFrame operations only.
 
-Pass one counts how often each of ``k`` hash positions is hit; positions hit
-twice or more form one bitmap per hash function, of fixed size. Pass two
-tests every row against the broadcast bitmaps: a row is possibly repeated
-only if all its positions were hit twice. Only those rows shuffle; the rest
-are unique for certain and pass straight through. False positives shuffle
-too and come out as groups of one, so the result is exact at any fill.
-
-The bitmaps have ``bits`` bits each, a bound that doesn't grow past
-``MAX_BITS``; on a corpus far larger than that more rows shuffle, none is
-lost.
+Pass one counts how often each of ``HASHES`` hash positions is hit; positions
+hit twice or more form one bitmap per hash function. Pass two tests every row
+against the broadcast bitmaps: a row is possibly repeated only if all its
+positions were hit twice. Only those rows shuffle; the rest are unique for
+certain and pass straight through. False positives shuffle too and come out
+as groups of one, so the result is exact at any fill.
+
+A bitmap has at most ``bloom.MAX_BITS`` bits. Corpora with more rows than that
+is good for are split by ranges of the digest, each with bitmaps of its own,
+so the share of rows that shuffle stays the same at any size. Pass one moves
+two positions of eight bytes for each row, never digests or texts.
 
 Defined results: null text equals empty text; among equal texts the largest
 doc_id stays; a group without any doc_id keeps one row with a null keep_id;
-if rows repeat a doc_id within a group one of them stays; an empty table
-gives an empty result; further columns ride along in ``drop_repeats``.
+if rows repeat a doc_id within a group one of them stays; texts of any length
+are read whole; an empty table gives an empty result; further columns ride
+along in ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -24,15 +26,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import written
 
-#: Bits of a bitmap from ``bitmap_construct_agg``.
-_BUCKET = 8 * 4096
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
-#: The bitmaps are at most this large in all, so they may be broadcast.
 HASHES = 2
+_NO_ID = -(1 << 63)
 #: Own columns, named so that they clash with none of the caller's.
-_KEY, _FLAG = "__fl_digest", "__fl_possible"
+_KEY, _FLAG, _ROW = "__fl_digest", "__fl_possible", "__fl_row"
 
 
 def lowered(text: Column) -> Column:
@@ -47,72 +47,86 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.encode(lowered(text), "UTF-8"), 256)
 
 
-def bits_for(rows: int) -> int:
-    """Bits of each bitmap: 16 for each row, a power of two within the fixed bounds."""
-    return min(MAX_BITS, max(MIN_BITS, 1 << (max(1, 16 * rows) - 1).bit_length()))
+def _positions(digest: Column, bits: int) -> list[Column]:
+    """Hash positions: eight hex digits of the digest each, which is uniform."""
+    return [F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % bits for k in range(HASHES)]
 
 
-def _position(digest: Column, k: int, bits: int) -> Column:
-    """The k-th hash position: eight hex digits of the digest, which is uniform."""
-    return F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("long") % bits
+def _range(digest: Column, ranges: int) -> Column:
+    """The range of a digest, from hex digits that no position uses."""
+    return F.conv(F.substring(digest, 1 + 8 * HASHES, 8), 16, 10).cast("long") % ranges
 
 
 def repeated_positions(digests: DataFrame, bits: int) -> DataFrame:
     """``k, bucket, bitmap`` of the positions that two or more rows hit; at most ``bits / 8`` bytes for each k."""
-    hits = digests.select(F.posexplode(F.array(*[_position(F.col(_KEY), k, bits) for k in range(HASHES)])).alias("k", "position"))
-    twice = hits.groupBy("k", "position").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    at = F.col("position") + 1  # bucket numbers and bit positions count from one
-    return twice.groupBy("k", F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
-
-
-def flag_possible(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """``rows`` (with their digest) plus a flag: false only for digests that occur once."""
-    flags = []
-    for k in range(HASHES):
-        position = _position(F.col(_KEY), k, bits)
-        side = bitmaps.where(F.col("k") == k).select(F.col("bucket").alias(f"__fl_b{k}"), F.col("bitmap").alias(f"__fl_m{k}"))
-        rows = rows.join(F.broadcast(side), (F.floor(position / _BUCKET) + 1) == F.col(f"__fl_b{k}"), "left")
-        bit = F.pmod(position, F.lit(_BUCKET)).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(f"__fl_m{k}"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        flags.append(F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False)))
-    possible = flags[0]
-    for flag in flags[1:]:
-        possible = possible & flag
-    return rows.withColumn(_FLAG, possible).drop(*[f"__fl_{x}{k}" for k in range(HASHES) for x in "bm"])
-
-
-def groups(docs: DataFrame, bits: int | None = None) -> DataFrame:
+    hits = bloom.positions(digests, _positions(F.col(_KEY), bits))
+    return bloom.bitmaps(hits.groupBy("k", "position").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
+def flag_possible(digests: DataFrame, bits: int | None = None, ranges: int | None = None) -> DataFrame:
+    """``digests``, a written table, plus a flag: false only for digests that occur once."""
+    rows = digests.count()  # from Parquet footers
+    ranges = ranges or max(1, -(-16 * rows // bloom.MAX_BITS))
+    bits = bits or bloom.bits_for(-(-rows // ranges))
+    out = None
+    for r in range(ranges):
+        part = digests if ranges == 1 else digests.where(_range(F.col(_KEY), ranges) == r)
+        part = bloom.flagged(part, _positions(F.col(_KEY), bits), written(repeated_positions(part, bits), "bloom"), _FLAG)
+        part = part if ranges == 1 else written(part, "flagged")  # one range's bitmaps are broadcast at a time
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    """``doc_id``, digest and a number of each row, as a table: texts are read once, only these go on."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias(_KEY))
+    return written(rows.withColumn(_ROW, F.monotonically_increasing_id()), "digests")
+
+
+def _sizes(maybe: DataFrame) -> DataFrame:
+    """Digest, the row that stays and the number of rows, as a table of its own, so that its join with a hot group can be split."""
+    best = F.max(F.struct("doc_id", _ROW)).alias("best")
+    return written(maybe.groupBy(_KEY).agg(best, F.count(F.lit(1)).alias("group_size")), "sizes")
+
+
+def groups(docs: DataFrame, bits: int | None = None, ranges: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): keep_id, group_size, kept, text_sha256.
 
-    Texts are read once; only digests and ids go on. Of these, only rows that
-    the filter calls possibly repeated shuffle.
+    Only rows that the filter calls possibly repeated shuffle, as digests and
+    ids. They are summed by digest within tasks first.
     """
-    digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias(_KEY)), "digests")
-    bits = bits or bits_for(digests.count())  # from Parquet footers
-    rows = flag_possible(digests, written(repeated_positions(digests, bits), "bloom"), bits)
+    rows = flag_possible(_digested(docs), bits, ranges)
     alone = rows.where(~F.col(_FLAG)).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col(_KEY).alias("text_sha256"))
-    maybe = rows.where(F.col(_FLAG)).select("doc_id", _KEY)
-    # one partial sum a task and digest before the shuffle, so a hot group costs no more than any other
-    sums = maybe.groupBy(_KEY, "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = maybe.groupBy(_KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = sums.join(sizes, _KEY).select(
-        "doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"), F.col(_KEY).alias("text_sha256")
+    maybe = rows.where(F.col(_FLAG)).select("doc_id", _KEY, _ROW)
+    copies = maybe.join(_sizes(maybe), _KEY).select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(_ROW) == F.col(f"best.{_ROW}")).alias("kept"), F.col(_KEY).alias("text_sha256")
     )
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return alone.unionByName(copies.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256"))
+    return alone.unionByName(copies)
 
 
-def drop_repeats(docs: DataFrame, bits: int | None = None) -> DataFrame:
+def drop_repeats(docs: DataFrame, bits: int | None = None, ranges: int | None = None) -> DataFrame:
     """``docs`` without rows whose text an equal text with a larger doc_id repeats; all columns stay.
 
-    Unique rows never shuffle. Possibly repeated rows are reduced to one per
-    digest by an aggregate that first reduces within each task.
+    The rows that stay are chosen among digests and ids; neither they nor the
+    rows that leave are moved. Rows that repeat their group's largest doc_id,
+    and groups without any, are told apart by whole rows, reduced to one
+    within each task first.
     """
-    keyed = docs.withColumn(_KEY, text_digest(F.col("text")))
-    digests = written(keyed.select(_KEY), "digests")
-    bits = bits or bits_for(digests.count())
-    rows = flag_possible(keyed, written(repeated_positions(digests, bits), "bloom"), bits)
-    alone = rows.where(~F.col(_FLAG)).select(*[F.col(f"`{c}`") for c in docs.columns])
-    rank = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    best = rows.where(F.col(_FLAG)).groupBy(_KEY).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("__fl_row"))
-    return alone.unionByName(best.select("__fl_row.*"))
+    digests = _digested(docs)
+    maybe = flag_possible(digests, bits, ranges).where(F.col(_FLAG)).select("doc_id", _KEY, _ROW)
+    sizes = _sizes(maybe).where("group_size > 1")
+    judged = written(maybe.join(sizes, _KEY).select("doc_id", _KEY, F.col("best.doc_id").alias("keep_id")), "judged")
+    twins = judged.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(_KEY, "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = written(twins.select(_KEY, "doc_id"), "twins")
+    # a null doc_id is the number below all others here, since null keys never leave
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    leave = judged.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(own.alias("id"), _KEY).unionByName(twins.select(own.alias("id"), _KEY))
+    digest = text_digest(F.col("text"))
+    out = bloom.without(docs, [own, digest], written(digests.select(own.alias("id"), _KEY), "keys"), written(leave.distinct(), "leave"))
+    if twins.isEmpty():
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("__fl_whole"), own.alias("__fl_id"), digest.alias("__fl_twin"))
+    same = (F.col("__fl_twin") == twins[_KEY]) & (F.col("__fl_id") == F.coalesce(twins["doc_id"], F.lit(_NO_ID)))
+    best = F.max_by("__fl_whole", F.sha2(F.coalesce(F.col("__fl_whole.text"), F.lit("")), 256)).alias("__fl_whole")
+    return out.unionByName(keyed.join(twins, same, "left_semi").groupBy("__fl_id", "__fl_twin").agg(best).select("__fl_whole.*"))

@@ -5,41 +5,43 @@ Fingerprints of 64 bits that differ in at most ``d`` bits differ in at most
 the guaranteed minimum. The index posts each distinct fingerprint under
 groups of positional bytes. Posting under single bytes would put a 256th of
 the corpus in every list, so the extended prefix form of the same filter is
-used: of any ``8 - d`` shared positions, ``_KEY_BYTES`` lie within the first
-``d + _KEY_BYTES``, so posting under each choice of ``_KEY_BYTES`` of these
-positions loses no pair, and lists stay short. Within a list the shared
-positional bytes of pairs are tallied, pairs below the minimum dropped, the
-rest verified by their differing bits, all in one task and vectorised; only a
-star of each local cluster is emitted, never the pairs.
-
-Lists past ``LONG_LIST`` take an exact way of linear size instead: two
-fingerprints lie within ``d`` bits just if some value lies within ``d / 2`` of
-both, so the members are posted under all their neighbours within ``d / 2``
-bits and linked through these, whose groups are bounded by the number of such
-neighbours.
+used: of any ``8 - d`` shared positions, three lie within the first ``d + 3``,
+so posting under each choice of three of these positions loses no pair, and
+lists stay short. Within a list the shared positional bytes of a pair are
+tallied, pairs below the minimum dropped, and the rest verified by their
+differing bits, all in one task and vectorised; only a star of each local
+cluster is emitted, never the pairs.
+
+Members of a list past ``LONG_LIST`` are posted once more under each position
+that their key lacks: a pair shares one byte more than its key has, so this
+loses none, and the new lists are a fraction of the old one.
 
 ``similar_groups`` asks for a similarity of shingle sets instead of a number of
-bits. No number of differing bits or shared bytes follows from a Jaccard
-similarity, so the fingerprints, of 256 bits there and posted under 48 pairs of
-positional bytes, only propose pairs. What they miss is found by an index that
-loses none: of two sets of similarity ``t``, in any one order of all shingles,
-the first ``n - ceil(t n) + 1`` of each (``n`` its size) share a shingle, so
-sets are posted under these. Shingles that many texts hold come last in that
-order, which keeps lists short. Pairs in a list whose sizes allow ``t`` and
-that aren't linked yet are candidates. Every candidate of either index is
-verified on the shingle sets themselves before it links. Sets hold 64-bit
-hashes of shingles.
+bits. Fingerprints have 256 bits there and are posted under every pair of
+positions within each of four groups of eight positions. A pair that shares
+five positional bytes or more shares two in one of the groups, so it meets in
+a list: five is the minimum that the count filter asks for. Pairs that differ
+in more bits than the similarity leads to, plus two standard deviations, are
+dropped as well. A pair is handled in the first of its lists only. All that
+is left is verified on the shingle sets themselves (64-bit hashes) before it
+links. First every text's nearest in each list is verified, which links nearly
+all that belongs together; then all pairs whose ends aren't linked yet. Only
+texts with such a pair have their sets made and moved. No number of shared
+bytes follows from a Jaccard similarity for certain, so a few links near the
+threshold are missed; tests hold recall against brute force.
 
 Defined results: null or wordless texts have fingerprint zero and link like
 any other; rows without doc_id belong to their fingerprint's component, whose
 id is the smallest doc_id in it (null if it has none); repeated rows come out
-once each; an empty table gives an empty result; further columns are ignored
-by ``near_groups`` and kept by ``keep_one``.
+once each; texts of any length are read whole; an empty table gives an empty
+result; further columns are ignored by ``near_groups`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -47,16 +49,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import blobs, written
-from .graph import components
+from .graph import components, dealt_anew
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
-#: Positional bytes in an index key.
+#: Most positional bytes in an index key.
 _KEY_BYTES = 3
 #: Members of a posting list that are compared in one task.
 LONG_LIST = 20_000
 _CHUNK = 1 << 15
+_LOW_BITS, _HIGH_BIT = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
 def fingerprint(raw: bytes, width: int) -> int:
@@ -91,18 +95,45 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
+def _choices(max_bits: int) -> list[tuple[int, ...]]:
+    """The choices of positions under which 64-bit fingerprints are posted."""
+    if not 0 <= max_bits <= 7:
+        raise ValueError("max_bits must lie between 0 and 7")
+    size = min(_KEY_BYTES, 8 - max_bits)
+    return list(combinations(range(max_bits + size), size))
+
+
+def _byte(position):
+    return F.shiftrightunsigned(F.col("fp"), 56 - 8 * position).bitwiseAND(F.lit(255))
+
+
 def _postings(distinct: DataFrame, max_bits: int) -> DataFrame:
     """``key, fp``: each fingerprint under every choice of index bytes; the key holds the choice and the bytes."""
-    first = min(8, max_bits + _KEY_BYTES)
     keys = []
-    for n, chosen in enumerate(combinations(range(first), _KEY_BYTES)):
+    for n, chosen in enumerate(_choices(max_bits)):
         key = F.lit(n).cast("long")
         for position in chosen:
-            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(F.col("fp"), 56 - 8 * position).bitwiseAND(F.lit(255)))
+            key = F.shiftleft(key, 8).bitwiseOR(_byte(position))
         keys.append(key)
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def _postings_again(crowded: DataFrame, max_bits: int) -> DataFrame:
+    """Members (key, fp) of long lists under each position that their key lacks; the new key is a hash of all that they share."""
+    choices = _choices(max_bits)
+    rest = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in chosen]) for chosen in choices])
+    mine = F.element_at(rest, (F.shiftright("key", 8 * len(choices[0])) + 1).cast("int"))
+    bytes_of = F.array(*[_byte(p) for p in range(8)])
+    again = F.transform(mine, lambda p: F.xxhash64("key", p, F.get(bytes_of, p)))
+    return crowded.select(F.explode(again).alias("key"), "fp")
+
+
+def shared_bytes(apart: np.ndarray) -> np.ndarray:
+    """The tally: how many positional bytes each pair shares, from the exclusive or of its words."""
+    zero = ~(((apart & _LOW_BITS) + _LOW_BITS) | apart) & _HIGH_BIT
+    return np.bitwise_count(zero).sum(-1, dtype=np.int64)
+
+
 def star(members: np.ndarray, max_bits: int, least: int = 0, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root), as row numbers, of the clusters that links within ``max_bits`` form.
 
@@ -131,100 +162,104 @@ def star(members: np.ndarray, max_bits: int, least: int = 0, step: int = 2048) -
 
 
 def _near(a: np.ndarray, b: np.ndarray, max_bits: int, least: int) -> np.ndarray:
-    """Which pairs share ``least`` positional bytes or more, the count filter, and differ in ``max_bits`` at most."""
+    """Which pairs pass the count filter, ``least`` shared positional bytes, and then differ in ``max_bits`` at most."""
     apart = a ^ b
-    close = np.bitwise_count(apart).sum(-1, dtype=np.int64) <= max_bits
-    if least and close.any():
-        close &= (np.ascontiguousarray(apart).view(np.uint8) == 0).sum(-1) >= least
+    close = shared_bytes(apart) >= least
+    close[close] = np.bitwise_count(apart[close]).sum(-1, dtype=np.int64) <= max_bits
     return close
 
 
-def _linked(max_bits: int, long_list: int):
-    """Reads postings sorted by key; yields edges (a, b), or (a, null) for members of a long list."""
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by the first, cut so that no list goes on in the next piece."""
+    held: list[list[np.ndarray]] = []
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [column.to_numpy() for column in batch.columns]
+        cut = int(np.searchsorted(new[0], new[0][-1]))  # the last list may go on
+        if held and held[-1][0][-1] != new[0][0]:
+            yield joined()
+            held = []
+        if cut:
+            held.append([x[:cut] for x in new])
+            yield joined()
+            held = []
+        held.append([x[cut:] for x in new])
+    if held:
+        yield joined()
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        held_key, size, long = None, 0, False
 
-        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            a = pa.array(a.view(np.int64))
-            return pa.RecordBatch.from_arrays([a, pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))], names=["a", "b"])
+def _linked(max_bits: int, long_list: int | None):
+    """Reads postings sorted by key; yields edges (a, b), or (a, null, key) for the members of a long list."""
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if not long and size > 1:
-                members = np.concatenate(held)
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, fps in _whole_lists(batches):
+            fps = fps.view(np.uint64)
+            cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            for k in np.flatnonzero(np.diff(cuts) > 1):
+                first, end = cuts[k], cuts[k + 1]
+                if long_list is not None and end - first > long_list:
+                    columns = [pa.array(fps[first:end].view(np.int64)), pa.nulls(end - first, pa.int64()), pa.array(keys[first:end])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+                    continue
+                members = np.unique(fps[first:end])
                 tails, heads = star(members[:, None], max_bits, 8 - max_bits)
                 if len(tails):
-                    yield out(members[tails], members[heads])
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            fps = batch.column(1).to_numpy().view(np.uint64)
-            cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
-            single = np.diff(cuts) == 1
-            for i in range(len(cuts) - 1):
-                inner = 0 < i < len(cuts) - 2
-                if inner and single[i]:
-                    continue  # alone under its key
-                a, b = cuts[i], cuts[i + 1]
-                if keys[a] != held_key:
-                    yield from close()
-                    held, held_key, size, long = [], keys[a], 0, False
-                size += b - a
-                held.append(fps[a:b])
-                if size > long_list:  # no longer compared here
-                    long = True
-                    yield out(np.concatenate(held), None)
-                    held = []
-        yield from close()
+                    columns = [pa.array(members[x].view(np.int64)) for x in (tails, heads)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(tails), pa.int64())], names=["a", "b", "key"])
 
     return link
 
 
 def links(distinct: DataFrame, max_bits: int, long_list: int = LONG_LIST) -> DataFrame:
     """Edges (a, b) between values whose components are those of all links within ``max_bits`` among ``distinct`` fp."""
-    spark = distinct.sparkSession
-    posted = _postings(distinct, max_bits).repartition("key").sortWithinPartitions("key")
-    found = written(posted.mapInArrow(_linked(max_bits, long_list), "a long, b long"), "links")
-    edges = found.where("b is not null")
-    crowded = found.where("b is null").select("a").distinct()
+
+    def found(posted: DataFrame, limit: int | None) -> DataFrame:
+        sorted_lists = posted.repartition("key").sortWithinPartitions("key")
+        return written(sorted_lists.mapInArrow(_linked(max_bits, limit), "a long, b long, key long"), "links")
+
+    splits = 8 - max_bits > _KEY_BYTES  # else a pair need not share more than its key
+    edges = found(_postings(distinct, max_bits), long_list if splits else None)
+    crowded = edges.where("b is null").select("key", F.col("a").alias("fp"))
+    edges = edges.where("b is not null").select("a", "b")
     if crowded.isEmpty():
         return edges
-    if max_bits % 2:
-        raise ValueError("lists past long_list need an even max_bits")
-    masks = [sum(1 << i for i in chosen) for k in range(max_bits // 2 + 1) for chosen in combinations(range(64), k)]
-    masks = np.array(masks, np.uint64).view(np.int64)
+    return edges.unionByName(found(_postings_again(crowded, max_bits), None).select("a", "b"))
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0).to_numpy():
-                yield pa.RecordBatch.from_arrays([pa.array(value ^ masks), pa.array(np.full(len(masks), value))], names=["key", "a"])
 
-    near = crowded.repartition(8 * spark.sparkContext.defaultParallelism, "a").mapInArrow(around, "key long, a long")
-    low = near.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z")
-    return edges.unionByName(near.join(low, "key").where("a <> b").select("a", "b").distinct())
+def component_ids(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``node, component_id`` of ``nodes`` (node, low), a written table: the smallest ``low`` of each node's component.
+
+    Only linked nodes are joined on their root, in a way that lets a component
+    of many nodes, and a node of many documents, be split.
+    """
+    roots = components(edges)
+    own = nodes.select(F.col(node).alias("node"), "low")
+    lows = roots.join(own, "node").groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = roots.join(dealt_anew(lows, "root"), "root").select("node", "component_id").withColumn("linked", F.lit(True))
+    id_of = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low"))
+    return dealt_anew(own.join(linked, "node", "left").select("node", id_of.alias("component_id")), "node").withColumnRenamed("node", node)
 
 
 def near_groups(docs: DataFrame, width: int = 4, max_bits: int = 4, long_list: int = LONG_LIST) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): fingerprint in hex and component_id, the smallest doc_id reachable."""
     prints = written(fingerprints(docs, width), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct.select("fp"), max_bits, long_list))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = rooted.join(lows, "root").select("fp", "component_id")
+    ids = component_ids(distinct, links(distinct.select("fp"), max_bits, long_list), "fp")
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a wide fingerprint, and the pairs of its bytes that are posted.
-_WIDE = 4
-_PAIRS = [*((i, (i + 1) % 32) for i in range(32)), *((i, i + 11) for i in range(16))]
 #: Lists up to this length are compared in one sweep over many lists.
 _SHORT = 16
-#: Longer lists are walked breadth first instead of compared pair by pair.
-_DENSE = 2048
-#: Bits by which a proposed pair may exceed the estimate of its similarity, half a standard deviation.
-_SLACK = 3
+#: Rows and columns of a block of pairs in longer lists.
+_TILE = (128, 2048)
+#: Standard deviations by which a pair may exceed the differing bits that its similarity leads to.
+_SLACK = 2.0
+_NONE = np.iinfo(np.int64).max
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -249,199 +284,138 @@ def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """256-bit SimHash as four words: every shingle's hash, scrambled four ways, votes on each bit."""
-    votes, n = np.zeros(64 * _WIDE, np.int64), len(hashes)
+@dataclass(frozen=True)
+class Index:
+    """Wide fingerprints of ``words`` 64-bit words, posted under each choice of ``key_bytes`` positions within every group of ``group``.
+
+    Two key bytes leave lists of a 65,536th of the corpus at the mean, whose
+    pairs are compared in blocks.
+    """
+
+    words: int = 4
+    group: int = 8
+    key_bytes: int = 2
+
+    @cached_property
+    def choices(self) -> list[tuple[int, ...]]:
+        return [tuple(g + i for i in chosen) for g in range(0, 8 * self.words, self.group) for chosen in combinations(range(self.group), self.key_bytes)]
+
+    @property
+    def least(self) -> int:
+        """The shared positional bytes from which on a pair is sure to meet in a list."""
+        return 8 * self.words // self.group * (self.key_bytes - 1) + 1
+
+    def max_bits(self, similarity: float) -> int:
+        """Differing bits up to which a pair of sets of a Jaccard ``similarity`` is looked for."""
+        share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        return int(64 * self.words * share + _SLACK * np.sqrt(64 * self.words * share * (1 - share)))
+
+    def first_choice(self, apart: np.ndarray) -> np.ndarray:
+        """Number of the first choice of positions that each pair shares whole, -1 if there is none; rows of exclusive ors."""
+        same = (np.ascontiguousarray(apart).view(np.uint8) == 0).reshape(len(apart), 8 * self.words // self.group, self.group)
+        enough = same.sum(2) >= self.key_bytes
+        at = enough.argmax(1)
+        inside = np.argsort(~same[np.arange(len(apart)), at], axis=1, kind="stable")[:, : self.key_bytes]
+        number = np.full((self.group,) * self.key_bytes, -1)
+        for n, chosen in enumerate(combinations(range(self.group), self.key_bytes)):
+            number[chosen] = n
+        each = len(self.choices) * self.group // (8 * self.words)
+        return np.where(enough.any(1), at * each + number[tuple(inside.T)], -1)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` 64-bit words: every shingle's hash, scrambled once for each word, votes on each bit."""
+    votes, n = np.zeros(64 * words, np.int64), len(hashes)
     for at in range(0, n, _CHUNK):
         part = hashes[at : at + _CHUNK]
-        many = np.stack([_scrambled(part + np.uint64((k * int(_GOLDEN)) & ((1 << 64) - 1))) for k in range(_WIDE)], axis=1)
+        many = np.stack([_scrambled(part + np.uint64((k * int(_GOLDEN)) & ((1 << 64) - 1))) for k in range(words)], axis=1)
         votes += np.unpackbits(many.view(np.uint8), axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * votes > n).view(np.uint64)
 
 
-def node_of(prints: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each wide fingerprint (a row of words)."""
-    name = np.zeros(len(prints), np.uint64)
-    for k in range(_WIDE):
-        name = _scrambled(name + prints[:, k] + _GOLDEN)
-    return name
-
-
-def bits_for(similarity: float) -> int:
-    """Differing bits of a wide fingerprint at a Jaccard similarity of shingle sets of like size."""
-    return int(64 * _WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _settled(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest row that each of ``n`` rows reaches over the links a to b."""
-    roots = np.arange(n)
-    while True:
-        following = roots.copy()
-        np.minimum.at(following, a, roots[b])
-        np.minimum.at(following, b, roots[a])
-        following = following[following]
-        if (following == roots).all():
-            return roots
-        roots = following
-
-
-def _swept(max_bits: int):
-    """Reads wide postings sorted by key; yields edges between nodes that are near."""
-
-    def close(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch | None:
-        """Edges of whole lists: each member to the smallest of its cluster in the list."""
-        names = node_of(prints)
-        order = np.lexsort((names, keys))
-        keys, prints, names = keys[order], prints[order], names[order]
-        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        sizes = np.diff(cuts)
-        low, high, tails, heads = [], [], [], []
-        place = np.arange(len(keys)) - np.repeat(cuts[:-1], sizes)
-        size = np.repeat(sizes, sizes)
-        rows = np.flatnonzero((size > 1) & (size <= _SHORT))
-        for gap in range(1, _SHORT):
-            rows = rows[place[rows] + gap < size[rows]]
-            if not len(rows):
-                break
-            hit = rows[_near(prints[rows], prints[rows + gap], max_bits, 2)]
-            low.append(hit)
-            high.append(hit + gap)
-        for k in np.flatnonzero(sizes > _SHORT):
-            first, own = cuts[k], prints[cuts[k] : cuts[k + 1]]
-            if len(own) > _DENSE:
-                a, b = star(own, max_bits, 2)
-                tails.append(a + first)
-                heads.append(b + first)
-                continue
-            for at in range(0, len(own), 256):
-                a, b = np.nonzero(_near(own[at : at + 256, None, :], own[None, at:, :], max_bits, 2))
-                low.append(a[a < b] + at + first)
-                high.append(b[a < b] + at + first)
-        if low:
-            a, b = np.concatenate(low), np.concatenate(high)
-            roots = _settled(a, b, len(keys))
-            met = np.unique(b)
-            tails.append(met)
-            heads.append(roots[met])
-        a, b = (names[np.concatenate(x)] if x else names[:0] for x in (tails, heads))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]) if len(a) else None
+def _candidates(index: Index, similarity: float, cross: bool):
+    """Reads wide postings (key, node, root, n, words) sorted by key; yields pairs of nodes (a, b), each from one list only.
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, prints = np.zeros(0, np.int32), np.zeros((0, _WIDE), np.uint64)
-        for batch in batches:
-            new = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(_WIDE)], axis=1)
-            keys, prints = np.concatenate((keys, batch.column(0).to_numpy())), np.concatenate((prints, new))
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on
-            if last:
-                found = close(keys[:last], prints[:last])
-                if found is not None:
-                    yield found
-                keys, prints = keys[last:], prints[last:]
-        if len(keys):
-            found = close(keys, prints)
-            if found is not None:
-                yield found
-
-    return sweep
+    Pairs share ``index.least`` positional bytes, differ in few enough bits,
+    and have sizes that allow ``similarity``. With ``cross`` all pairs of
+    different roots come out, else for each node the pair with its nearest.
+    """
+    least, max_bits, shift = index.least, index.max_bits(similarity), 8 * index.key_bytes
 
+    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-#: Texts from which the order of shingles is estimated, and the most shingles that come last. The order bears on cost alone.
-_SAMPLE, _COMMON = 8192, 1 << 16
-
-
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of shingles that several texts of a sample hold, and the rank of each by number of texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [np.unique(shingle_hashes(raw, width)) for batch in batches for raw in blobs(batch.column("text"))]
-        if sets:
-            values, times = np.unique(np.concatenate(sets), return_counts=True)
-            often = np.flatnonzero(times > 1)
-            often = often[np.argsort(-times[often], kind="stable")[:_COMMON]]
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often])], names=["shingle", "times"])
-
-    part = max(1, docs.count() // _SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text").repartition(4)
-    counted = sample.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    rows = counted.orderBy(F.desc("times"), "shingle").limit(_COMMON).collect()
-    values = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], (len(rows) - order).astype(np.int64)
-
-
-def first_shingles(found: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles of a set (ascending hashes) under which it is posted: any set as similar shares one of its own."""
-    n = len(found)
-    take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
-    values, rank = common
-    if len(values):
-        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
-        last = values[at] == found
-        if last.any():
-            late = found[last]
-            found = np.concatenate((found[~last], late[np.argsort(rank[at[last]])]))
-    return found[:take]
-
-
-def _crossed(similarity: float):
-    """Reads set postings (key, node, root, n) sorted by key; yields pairs of one list, of different roots, whose sizes allow ``similarity``."""
-
-    def pairs(low: np.ndarray, high: np.ndarray, nodes, roots, sizes) -> pa.RecordBatch | None:
-        fit = (roots[low] != roots[high]) & (np.minimum(sizes[low], sizes[high]) >= similarity * np.maximum(sizes[low], sizes[high]) - 1e-9)
-        a, b = nodes[low[fit]], nodes[high[fit]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]) if len(a) else None
-
-    def close(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table = table[np.lexsort((table[:, 1], table[:, 0]))]
-        table = table[np.concatenate(([True], (table[1:, :2] != table[:-1, :2]).any(1)))]
-        keys, nodes, roots, sizes = np.ascontiguousarray(table.T)
+    def close(keys, nodes, roots, sizes, *words) -> Iterator[pa.RecordBatch]:
+        prints = np.stack([w.view(np.uint64) for w in words], axis=1)
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         counts = np.diff(cuts)
+        best = np.full(len(keys), _NONE)
+
+        def kept(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fit = roots[low] != roots[high]
+            fit &= np.minimum(sizes[low], sizes[high]) >= similarity * np.maximum(sizes[low], sizes[high]) - 1e-9
+            low, high = low[fit], high[fit]
+            apart = prints[low] ^ prints[high]
+            some = np.flatnonzero(shared_bytes(apart) >= least)  # the count filter
+            bits = np.bitwise_count(apart[some]).sum(-1, dtype=np.int64)
+            some, bits = some[bits <= max_bits], bits[bits <= max_bits]
+            own = index.first_choice(apart[some]) == keys[low[some]] >> shift
+            low, high, bits = low[some[own]], high[some[own]], bits[own]
+            if not cross:
+                np.minimum.at(best, low, bits << 40 | high)
+                np.minimum.at(best, high, bits << 40 | low)
+            return low, high
+
         place, size = np.arange(len(keys)) - np.repeat(cuts[:-1], counts), np.repeat(counts, counts)
         rows = np.flatnonzero((size > 1) & (size <= _SHORT))
         for gap in range(1, _SHORT):
             rows = rows[place[rows] + gap < size[rows]]
             if not len(rows):
                 break
-            found = pairs(rows, rows + gap, nodes, roots, sizes)
-            if found is not None:
-                yield found
+            low, high = kept(rows, rows + gap)
+            if cross and len(low):
+                yield batch(nodes[low], nodes[high])
         for k in np.flatnonzero(counts > _SHORT):
             first, end = cuts[k], cuts[k + 1]
             if (roots[first:end] == roots[first]).all():
                 continue
-            for at in range(first, end - 1):
-                found = pairs(np.full(end - at - 1, at), np.arange(at + 1, end), nodes, roots, sizes)
-                if found is not None:
-                    yield found
+            for at in range(first, end, _TILE[0]):
+                for other in range(at, end, _TILE[1]):
+                    low, high = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + _TILE[0], end)), np.arange(other, min(other + _TILE[1], end)), indexing="ij"))
+                    low, high = kept(low[low < high], high[low < high])
+                    if cross and len(low):
+                        yield batch(nodes[low], nodes[high])
+        if not cross:
+            low = np.flatnonzero(best < _NONE)
+            high = best[low] & ((1 << 40) - 1)
+            pairs = np.unique(np.stack((np.minimum(low, high), np.maximum(low, high))), axis=1)
+            if pairs.size:
+                yield batch(nodes[pairs[0]], nodes[pairs[1]])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.stack([batch.column(k).to_numpy() for k in range(4)], axis=1)
-            last = int(np.searchsorted(new[:, 0], new[-1, 0]))  # the last list may go on
-            if held and (last or held[-1][-1, 0] != new[0, 0]):
-                yield from close(np.concatenate((*held, new[:last])))
-                held = []
-            elif last:
-                yield from close(new[:last])
-            held.append(new[last:])
-        if held:
-            yield from close(np.concatenate(held))
+        for lists in _whole_lists(batches):
+            yield from close(*lists)
 
     return sweep
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) of ``nodes`` (node, text_id) whose shingle sets have the Jaccard similarity or more."""
-    asked = written(pairs.where("a <> b").distinct(), "candidates")
+def _candidate_pairs(nodes: DataFrame, index: Index, similarity: float, cross: bool) -> DataFrame:
+    """``a, b``: candidates among ``nodes`` (node, root, n, words), as a table."""
+    words = [f"w{k}" for k in range(index.words)]
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(raw, width)).tobytes() for raw in blobs(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+    def key(n: int, chosen: tuple[int, ...]):
+        out = F.lit(n).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(F.col(words[i // 8]), 8 * (i % 8)).bitwiseAND(F.lit(255)))
+        return out
+
+    keys = F.array(*[key(n, chosen) for n, chosen in enumerate(index.choices)])
+    posted = nodes.select(F.explode(keys).alias("key"), "node", "root", "n", *words).repartition("key").sortWithinPartitions("key")
+    return written(posted.mapInArrow(_candidates(index, similarity, cross), "a long, b long"), "candidates")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` (node, shingles) have the Jaccard similarity or more, as a table."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,64 +427,62 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, s
                 good.append(shared >= similarity * (len(both) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_id"), "node")
-    texts = docs.select(F.xxhash64("text").alias("text_id"), "text").join(wanted, "text_id").groupBy("node").agg(F.first("text").alias("text"))
-    sets = written(texts.mapInArrow(gather, "node long, shingles binary"), "sets")
     one, other = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return written(asked.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    return written(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of ``wanted`` (node, text_id), a written table. Of ``docs`` only texts that a filter of text_id lets pass move."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(raw, width)).tobytes() for raw in blobs(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    maps, bits = bloom.members(wanted, "text_id")
+    rows = docs.select(F.xxhash64("text").alias("text_id"), "text")
+    possible = bloom.flagged(rows, bloom.positions_of(F.col("text_id"), bits), maps, "possible").where("possible").drop("possible")
+    texts = possible.join(wanted, "text_id").groupBy("node").agg(F.first("text").alias("text"))
+    return written(texts.mapInArrow(gather, "node long, shingles binary"), "sets")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, index: Index = Index()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): component_id, the smallest doc_id reached over links of ``similarity`` or more."""
-    words = [f"w{k}" for k in range(_WIDE)]
-    common = common_shingles(docs, width)
+    words = [f"w{k}" for k in range(index.words)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, named, sizes, first = [], [], [], []
+            prints, named, sizes = [], [], []
             for raw in blobs(batch.column("text")):
                 hashes = shingle_hashes(raw, width)
                 found = np.unique(hashes)
-                prints.append(wide_fingerprint(hashes))
+                prints.append(wide_fingerprint(hashes, index.words))
                 named.append(np.add.reduce(_scrambled(found + _GOLDEN), dtype=np.uint64))
                 sizes.append(len(found))
-                first.append(first_shingles(found, similarity, common).view(np.int64))
-            prints = np.array(prints, np.uint64).reshape(-1, _WIDE)
-            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (np.array(named, np.uint64), node_of(prints), *prints.T)]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in first]))).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), *columns, pa.array(sizes, pa.int64()), keys], names=["doc_id", "text_id", "node", "print", *words, "n", "keys"])
+            prints = np.array(prints, np.uint64).reshape(-1, index.words)
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (np.array(named, np.uint64), *prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(sizes, pa.int64()), *columns], names=["doc_id", "text_id", "n", "node", *words])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
-    schema = "doc_id long, text_id long, node long, print long, " + ", ".join(f"{w} long" for w in words) + ", n long, keys array<long>"
-    prints = written(rows.mapInArrow(each, schema), "fingerprints")
+    prints = written(rows.mapInArrow(each, "doc_id long, text_id long, n long, node long, " + ", ".join(f"{w} long" for w in words)), "fingerprints")
     # equal shingle sets are one node
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("text_id").alias("text_id"), F.min("print").alias("print")), "nodes")
-    distinct = written(prints.groupBy("print").agg(F.min("node").alias("node"), *[F.first(w).alias(w) for w in words]), "distinct")
-
-    def byte(i: int):
-        return F.shiftrightunsigned(F.col(words[i // 8]), 8 * (i % 8)).bitwiseAND(F.lit(255)).cast("int")
-
-    keys = [F.lit(n << 16).bitwiseOR(F.shiftleft(byte(i), 8)).bitwiseOR(byte(j)) for n, (i, j) in enumerate(_PAIRS)]
-    posted = distinct.select(F.explode(F.array(*keys)).alias("key"), *words).repartition("key").sortWithinPartitions("key")
-    close = posted.mapInArrow(_swept(bits_for(similarity) + _SLACK), "a long, b long").distinct()
-    of_print = distinct.select("print", "node")
-    close = close.join(of_print.toDF("a", "x"), "a").join(of_print.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    alike = nodes.join(of_print.toDF("print", "x"), "print").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    linked = _verified(close.union(alike), nodes, docs, width, similarity)
-    listed = prints.select("node", "n", "keys").join(components(linked), "node", "left").select(F.explode("keys").alias("key"), "node", F.coalesce("root", "node").alias("root"), "n")
-    missed = listed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossed(similarity), "a long, b long")
-    roots = components(linked.union(_verified(missed, nodes, docs, width, similarity)))
-    rooted = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select("doc_id", "node").join(rooted.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    first = [F.min("doc_id").alias("low"), F.min("text_id").alias("text_id"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]]
+    nodes = written(prints.groupBy("node").agg(*first), "nodes")
+    nearest = _candidate_pairs(nodes.withColumn("root", F.col("node")), index, similarity, cross=False)
+    active = written(nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("low"), "node"), "active")
+    sets = _shingle_sets(docs, active.select("node", "text_id"), width)
+    linked = _verified(nearest, sets, similarity)
+    rooted = active.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = linked.union(_verified(_candidate_pairs(rooted, index, similarity, cross=True), sets, similarity))
+    return prints.select("doc_id", "node").join(component_ids(nodes.select("node", "low"), linked, "node"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, index: Index = Index()) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest doc_id; all columns stay.
 
-    Rows without doc_id stay, and rows that share a doc_id share its fate.
+    Rows without doc_id stay, and rows that share a doc_id share its fate. No
+    text is moved for it but the few that a filter takes for leaving ones.
     """
-    found = similar_groups(docs, width, similarity)
-    leave = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__fl_id")).distinct()
-    return docs.join(leave, docs["doc_id"].cast("long") == F.col("__fl_id"), "left_anti")
+    found = written(similar_groups(docs, width, similarity, index), "groups")
+    leave = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "leave")
+    return bloom.without(docs, [F.col("doc_id").cast("long")], found.select("doc_id"), leave)

@@ -271,6 +271,11 @@ def test_simhash_groups(spark, docs, empty, long_list):
 
 @pytest.mark.parametrize("long_list", [simhash.LONG_LIST, 4])
 def test_simhash_links_lose_nothing(spark, long_list):
+    from itertools import combinations
+
+    for size in range(8):  # every pair that shares the guaranteed minimum shares a choice of index positions
+        for apart in combinations(range(8), size):
+            assert any(not set(chosen) & set(apart) for chosen in simhash._choices(size))
     rng = random.Random(5)
     values = {rng.getrandbits(64) for _ in range(150)}
     for v in list(values)[:40]:  # chains and clouds at the very limit, spread over four bytes
@@ -315,7 +320,7 @@ def test_similar_groups(spark, docs, empty):
     assert len(odd) == docs.count() and simhash.similar_groups(empty).count() == 0
 
 
-def test_similar_groups_equal_brute_force(spark):
+def test_similar_groups_against_brute_force(spark):
     rng = random.Random(5)
     rows = []
     for _ in range(150):
@@ -336,17 +341,22 @@ def test_similar_groups_equal_brute_force(spark):
             k = root[k]
         return k
 
-    near = 0
+    pairs = {}
     for a in range(len(rows)):
         for b in range(a):
             shared = len(sets[a] & sets[b])
             union = len(sets[a]) + len(sets[b]) - shared
-            near += 0.75 * union <= shared < 0.85 * union
+            if 10 * shared >= 7 * union:
+                pairs[b, a] = shared / union if union else 1.0
             if 10 * shared >= 8 * union:
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert near > 50 and got == {k: top(k) for k in range(len(rows))}
+    for low, high in ((0.8, 0.85), (0.85, 0.95), (0.95, 1.01)):  # recall by band, of links
+        band = [p for p, s in pairs.items() if low <= s < high]
+        assert len(band) > 25 and sum(got[a] == got[b] for a, b in band) >= 0.9 * len(band)
+    assert any(0.75 <= s < 0.8 and top(a) != top(b) for (a, b), s in pairs.items())
+    assert all(top(k) == top(got[k]) for k in got)  # no link that isn't there
 
 
 def test_keep_one(spark, docs, empty):
@@ -361,11 +371,11 @@ def lowered(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-@pytest.mark.parametrize("bits", [None, 64])
-def test_exact_dedup(spark, docs, empty, bits):
+@pytest.mark.parametrize(("bits", "ranges"), [(None, None), (64, 3)])
+def test_exact_dedup(spark, docs, empty, bits, ranges):
     import hashlib
 
-    got = exact_dedup.groups(docs, bits).collect()
+    got = exact_dedup.groups(docs, bits, ranges).collect()
     rows = docs.select("doc_id", "text").collect()
     groups = defaultdict(list)
     for r in rows:
@@ -376,7 +386,7 @@ def test_exact_dedup(spark, docs, empty, bits):
         assert g.group_size == len(ids) and g.keep_id == max((d for d in ids if d is not None), default=None)
     kept = Counter(g.text_sha256 for g in got if g.kept)
     assert kept == Counter(dict.fromkeys(groups, 1))
-    alone = exact_dedup.drop_repeats(docs, bits)
+    alone = exact_dedup.drop_repeats(docs, bits, ranges)
     assert Counter(hashlib.sha256(lowered(r.text).encode()).hexdigest() for r in alone.collect()) == kept and alone.columns == docs.columns
     assert {r.doc_id for r in alone.collect()} == {g.doc_id for g in got if g.kept}
     assert exact_dedup.groups(empty).count() == 0 and exact_dedup.drop_repeats(empty).count() == 0
