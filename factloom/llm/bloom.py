@@ -74,10 +74,11 @@ def without(rows: DataFrame, keys: Sequence[Column], own: DataFrame, leave: Data
     maps, bits = members(written(leave.select(hashed[0].alias("hash")).distinct(), "leave"), "hash")
     stopped = flagged(own, positions_of(hashed[0], bits), maps, "__fl_stopped").where("__fl_stopped").select(*names).distinct()
     spared = written(stopped.join(leave, names, "left_anti").select(hashed[0].alias("__fl_spared"), *[F.col(n).alias(f"__fl_{n}") for n in names]), "spared")
-    marked = flagged(rows, positions_of(hashed[1], bits), maps, "__fl_stopped").withColumn("__fl_stopped", F.col("__fl_stopped") & known)
+    hashed_rows = rows.withColumn("__fl_row_hash", F.when(known, hashed[1]))  # made once, below the joins
+    marked = flagged(hashed_rows, positions_of(F.col("__fl_row_hash"), bits), maps, "__fl_stopped").withColumn("__fl_stopped", F.col("__fl_stopped") & F.col("__fl_row_hash").isNotNull())
     kept = marked.where("not __fl_stopped").select(*[F.col(f"`{c}`") for c in rows.columns])
     spared_maps, spared_bits = members(spared, "__fl_spared")
-    again = flagged(marked.where("__fl_stopped"), positions_of(hashed[1], spared_bits), spared_maps, "__fl_again").where("__fl_again")
+    again = flagged(marked.where("__fl_stopped"), positions_of(F.col("__fl_row_hash"), spared_bits), spared_maps, "__fl_again").where("__fl_again")
     same = F.lit(True)
     for key, n in zip(keys, names):
         same = same & (key == F.col(f"__fl_{n}"))

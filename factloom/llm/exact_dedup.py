@@ -78,7 +78,7 @@ def flag_possible(digests: DataFrame, bits: int | None = None, ranges: int | Non
 
 
 def _digested(docs: DataFrame) -> DataFrame:
-    """``doc_id``, digest and a number of each row, as a table: texts are read once, only these go on."""
+    """``doc_id``, digest and a number of each row, as a table: only these go on."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias(_KEY))
     return written(rows.withColumn(_ROW, F.monotonically_increasing_id()), "digests")
 
@@ -118,15 +118,14 @@ def drop_repeats(docs: DataFrame, bits: int | None = None, ranges: int | None =
     judged = written(maybe.join(sizes, _KEY).select("doc_id", _KEY, F.col("best.doc_id").alias("keep_id")), "judged")
     twins = judged.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(_KEY, "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     twins = written(twins.select(_KEY, "doc_id"), "twins")
-    # a null doc_id is the number below all others here, since null keys never leave
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    leave = judged.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(own.alias("id"), _KEY).unionByName(twins.select(own.alias("id"), _KEY))
-    digest = text_digest(F.col("text"))
-    out = bloom.without(docs, [own, digest], written(digests.select(own.alias("id"), _KEY), "keys"), written(leave.distinct(), "leave"))
+    # rows are named by doc_id (null: the number below all others) and a hash of their digest
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(_KEY).alias("hash")]
+    leave = judged.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*own).unionByName(twins.select(*own))
+    keys = [own[0], F.xxhash64(text_digest(F.col("text")))]
+    out = bloom.without(docs, keys, digests.select(*own), written(leave.distinct(), "leave"))
     if twins.isEmpty():
         return out
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.struct(*columns).alias("__fl_whole"), own.alias("__fl_id"), digest.alias("__fl_twin"))
-    same = (F.col("__fl_twin") == twins[_KEY]) & (F.col("__fl_id") == F.coalesce(twins["doc_id"], F.lit(_NO_ID)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__fl_whole"), *[k.alias(f"__fl_{n}") for n, k in zip(("id", "hash"), keys)])
+    same = keyed.join(twins.select(*[c.alias(f"__fl_{n}") for n, c in zip(("id", "hash"), own)]), ["__fl_id", "__fl_hash"], "left_semi")
     best = F.max_by("__fl_whole", F.sha2(F.coalesce(F.col("__fl_whole.text"), F.lit("")), 256)).alias("__fl_whole")
-    return out.unionByName(keyed.join(twins, same, "left_semi").groupBy("__fl_id", "__fl_twin").agg(best).select("__fl_whole.*"))
+    return out.unionByName(same.groupBy("__fl_id", "__fl_hash").agg(best).select("__fl_whole.*"))

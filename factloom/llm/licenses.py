@@ -1,13 +1,14 @@
 """Operator 9: license scans by canonical digest lookup.
 
 A text's canonical form drops what may differ between two copies of one
-licence: case, punctuation, white space, comment signs, bullets, lines that
-only state a copyright, and equivalent spellings. Its digest is looked up
+licence: case, punctuation, white space and wrapping, comment signs, bullets
+and numbering (words such as "1.", "(a)" or "iv)"), lines that only state a
+copyright (as lines of their own), and equivalent spellings. Its digest is looked up
 among the digests of known licence texts by a hash join, so entire texts are
 compared and one licence more costs nothing.
 
 Defined results: null and empty texts have the digest of the empty form and
-no licence; repeated rows and null doc_ids are scanned like any row; known
+no licence; texts of any length are read whole; repeated rows and null doc_ids are scanned like any row; known
 texts of one form must bear one identifier; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -66,7 +67,7 @@ SPELLINGS = {
     "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
-    "wilful": "wilfull",
+    "wilful": "willful",
 }
 _PAIRS = ((b" sub license ", b" sublicense "), (b" copyright owner ", b" copyright holder "), (b" copyright owners ", b" copyright holders "), (b" non infringement ", b" noninfringement "), (b" per cent ", b" percent "))
 _SIGNS = ("‘", "’", "“", "”", "–", "—", "…", "•", " ", "﻿")
@@ -74,19 +75,16 @@ _ODD = re.compile(b"|".join(s.encode() for s in _SIGNS))
 _LETTERS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 or c == 10 else 32 for c in range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 #: A line that only states a copyright, after case and signs are gone.
 _STATED = re.compile(rb"^ *(?:spdx filecopyrighttext +.*|portions +copyright\b.*|(?:copyright|\xc2\xa9|c) +(?:copyright +)?(?:(?:c|\xc2\xa9) +)?(?:\d{4}\b.*|year\b.*|yyyy\b.*|by +.*|c\b.*|\xc2\xa9.*)|copyright +(?:c|\xc2\xa9)\b.*|all +rights +reserved) *$", re.M)
-_BULLET = re.compile(rb"^ *(?:\d{1,2}|[a-z]|[ivx]{1,4}) +(?=[a-z])", re.M)
-#: A line that begins with a bullet's sign; stays within its line, so it takes linear time.
-_NUMBERED = re.compile(rb"^[^\w\n]*(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)]", re.M)
+#: A word that is a bullet: a number or letters up to its sign. Wherever it stands, since text may be wrapped anywhere.
+_BULLET = re.compile(rb"(?<!\S)\(?(?:\d{1,2}|[a-zA-Z]|[ivxIVX]{1,4})[.)]+(?!\S)")
 _WORDS = {a.encode(): b.encode() for a, b in SPELLINGS.items()}
 
 
 def canonical(raw: bytes) -> bytes:
     """The canonical form of a UTF-8 text: words joined by single spaces."""
-    text = _ODD.sub(b" ", raw).translate(_LETTERS)
+    text = _BULLET.sub(b" ", _ODD.sub(b" ", raw)).translate(_LETTERS)
     if b"opyright" in raw or b"OPYRIGHT" in raw or b"\xc2\xa9" in raw or b"(c)" in raw or b"(C)" in raw or b"eserved" in raw or b"ESERVED" in raw:
         text = _STATED.sub(b"", text)
-    if _NUMBERED.search(raw):
-        text = _BULLET.sub(b"", text)
     words = text.split()
     form = b" ".join(map(_WORDS.get, words, words))
     if any(pair in form for pair, _ in _PAIRS):

@@ -16,8 +16,8 @@ by the same rounds.
 
 Defined results: null source or lang is the value ''; null and empty texts
 have topic 0 and the length of the end id; rows without doc_id are drawn by
-the hash of their text; repeated rows are drawn or left together; an empty
-table gives an empty result; further columns ride along in ``sample``.
+the hash of their text; repeated rows are drawn or left together, and so are
+rows that share doc_id and text; texts of any length are measured whole; an empty table gives an empty result; further columns ride along in ``sample``.
 """
 
 from __future__ import annotations
@@ -33,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import strings, written
 from .tokens import encoder
 
 MARGINS = ("source", "lang", "topic")
 MAX_CELLS = 100_000
 _TOPIC_BITS = 3
+_NO_ID = -(1 << 63)
 _TOPIC_WORDS = 24
 _SALTS = 16
+#: Texts that are Python strings at a time.
+_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -67,21 +71,21 @@ def topic_of(text: str) -> int:
     return sum(1 << k for k in range(_TOPIC_BITS) if sums[k] > 0)
 
 
-def measured(docs: DataFrame, tokenizer: str, seed: int) -> DataFrame:
-    """``doc_id, source, lang, u, topic, n_tokens`` of all rows; u is the row's uniform hash."""
+def measured(docs: DataFrame, tokenizer: str, seed: int, *carried: str) -> DataFrame:
+    """``doc_id, source, lang, u, topic, n_tokens`` of all rows, and 64-bit columns that are ``carried`` along; u is the row's uniform hash."""
+    columns = ["doc_id", "source", "lang", "u", *carried]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            texts = strings(batch.column("text"))
-            topics = pa.array([topic_of(t) for t in texts], pa.int32())
-            counts = [np.diff(offsets) + 1 for _, offsets in enc.encode_column(batch.column("text"), counts_only=True)]
+            text = batch.column("text")
+            topics = pa.array([topic_of(t) for at in range(0, len(text), _ROWS) for t in strings(text.slice(at, _ROWS))], pa.int32())
+            counts = [np.diff(offsets) + 1 for _, offsets in enc.encode_column(text, counts_only=True)]
             lengths = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-            columns = [*(batch.column(c) for c in ("doc_id", "source", "lang", "u")), topics, lengths]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "lang", "u", "topic", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), topics, lengths], names=[*columns, "topic", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[_value(c).alias(c) for c in ("source", "lang")], uniform(seed).alias("u"), "text")
-    return rows.mapInArrow(measure, "doc_id long, source string, lang string, u double, topic int, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[_value(c).alias(c) for c in ("source", "lang")], uniform(seed).alias("u"), *carried, "text")
+    return rows.mapInArrow(measure, "doc_id long, source string, lang string, u double, " + "".join(f"{c} long, " for c in carried) + "topic int, n_tokens long")
 
 
 def _value(column: str) -> Column:
@@ -155,7 +159,12 @@ def calibrated(rows: DataFrame, mix: Mix, max_cells: int = MAX_CELLS) -> tuple[D
 
 def draw(docs: DataFrame, tokenizer: str, mix: Mix = Mix(), max_cells: int = MAX_CELLS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source, lang): its cell, n_tokens, probability and whether it is drawn."""
-    rows = written(measured(docs, tokenizer, mix.seed), "measured")
+    drawn = _drawn(written(measured(docs, tokenizer, mix.seed), "measured"), mix, max_cells)
+    return drawn.select("doc_id", *MARGINS, "n_tokens", "probability", "drawn")
+
+
+def _drawn(rows: DataFrame, mix: Mix, max_cells: int) -> DataFrame:
+    """``rows`` as measured, a table, with the probability of their cell and whether they are drawn."""
     cells, few = calibrated(rows, mix, max_cells)
     cells = cells.drop("tokens")
     if few:
@@ -163,23 +172,13 @@ def draw(docs: DataFrame, tokenizer: str, mix: Mix = Mix(), max_cells: int = MAX
     else:  # a hot cell's rows are dealt over several tasks
         salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         joined = rows.withColumn("salt", F.floor(F.col("u") * _SALTS).cast("int")).join(salted, [*MARGINS, "salt"])
-    return joined.select("doc_id", *MARGINS, "n_tokens", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
+    return joined.withColumn("drawn", F.col("u") < F.col("probability"))
 
 
 def sample(docs: DataFrame, tokenizer: str, mix: Mix = Mix(), max_cells: int = MAX_CELLS) -> DataFrame:
-    """The drawn rows of ``docs``, with all their columns."""
-    rows = written(measured(docs, tokenizer, mix.seed), "measured")
-    cells, few = calibrated(rows, mix, max_cells)
-
-    def topics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("__fl_topic", pa.array([topic_of(t) for t in strings(batch.column("text"))], pa.int32()))
-
-    from pyspark.sql import types as T
-
-    marked = docs.mapInArrow(topics, T.StructType([*docs.schema.fields, T.StructField("__fl_topic", T.IntegerType())]))
-    marked = marked.withColumns({"__fl_source": _value("source"), "__fl_lang": _value("lang"), "__fl_u": uniform(mix.seed)})
-    cells = cells.select(*[F.col(c).alias(f"__fl_{c}") for c in (*MARGINS, "probability")])
-    keys = [f"__fl_{c}" for c in MARGINS]
-    drawn = marked.join(F.broadcast(cells) if few else cells, keys).where("__fl_u < __fl_probability")
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The drawn rows of ``docs``, with all their columns; texts are measured once, and neither drawn nor other rows move."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text")]
+    rows = written(measured(docs.withColumn("__fl_text_id", key[1]), tokenizer, mix.seed, "__fl_text_id"), "measured")
+    judged = _drawn(rows, mix, max_cells).select(key[0].alias("id"), F.col("__fl_text_id").alias("text_id"), "drawn")
+    judged = written(judged, "drawn")
+    return bloom.without(docs, key, judged.select("id", "text_id"), written(judged.where("not drawn").select("id", "text_id").distinct(), "leave"))

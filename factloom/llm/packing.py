@@ -11,7 +11,8 @@ counts, so its cost doesn't grow with the corpus. The plan is a bounded table
 of slots; each piece finds its slot from its rank among pieces of its length.
 
 Defined results: null text is empty and gives one piece that holds the end
-id; repeated rows and null doc_ids are packed like any row; an empty table
+id; texts of any length are read whole; repeated rows and null doc_ids are
+packed like any row; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -263,7 +264,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048)
     slots = Slots.of(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_shard.select("shard", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["shard", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("base")).alias("rank"))
+    # as many bases as shards have lengths, which grows with the corpus: never broadcast; pieces without their ids are small
+    ranked = pieces.join(bases.hint("merge"), ["shard", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ answer totals, quantiles and truncated totals for every context limit, with
 no further pass over the documents.
 
 Defined results: null and empty texts have length 0 plus the end id if one is
-set; repeated rows each count; an empty table gives an empty histogram;
+set; texts of any length are read whole; repeated rows each count; an empty table gives an empty histogram;
 further columns are ignored.
 """
 
@@ -14,17 +14,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .tokens import encoder
 
 #: Lengths that share a block of the two-level suffix sum.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, end_tokens: int = 1) -> DataFrame:
@@ -74,18 +75,21 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """``context_limit, kept_tokens, cut_docs``: exact for any limits, present as lengths or not."""
+    """``context_limit, kept_tokens, cut_docs``: exact for any limits, present as lengths or not, read off the suffix sums."""
     spark = histogram.sparkSession
-    wanted = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits]))
-    rows = histogram.select("n_tokens", "n_docs", wanted.alias("context_limit"))
-    kept = F.least("n_tokens", "context_limit") * F.col("n_docs")
-    over = F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)
-    sums = rows.groupBy("context_limit").agg(F.sum(kept).alias("kept_tokens"), F.sum(over).alias("cut_docs"))
-    asked = spark.range(1).select(wanted.alias("context_limit")).distinct()
-    return asked.join(sums, "context_limit", "left").na.fill(0)
-
-
-def quantile(suffixes: DataFrame, share: float | Column) -> DataFrame:
-    """One row: the smallest length that at least ``share`` of the documents do not exceed."""
-    upto = F.col("rank_from") + F.col("n_docs")
-    return suffixes.where(upto >= F.ceil(F.lit(share) * F.col("docs_total"))).agg(F.min("n_tokens").alias("n_tokens"))
+    wanted = spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "n_tokens long")
+    asked = histogram.select("n_tokens", "n_docs").unionByName(wanted.withColumn("n_docs", F.lit(0).cast("long"))).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    found = suffix_sums(asked).join(F.broadcast(wanted), "n_tokens")  # the limits of one call
+    return found.select(F.col("n_tokens").alias("context_limit"), F.col("truncated_total").alias("kept_tokens"), (F.col("docs_from") - F.col("n_docs")).alias("cut_docs"))
+
+
+def quantile(suffixes: DataFrame, share: float | str | Fraction) -> DataFrame:
+    """One row: the smallest length that at least ``share`` of the documents do not exceed; null without documents.
+
+    The share counts as the decimal number that it is written as, in whole
+    numbers throughout, so no rounding shifts the rank.
+    """
+    part = Fraction(str(share))
+    upto, total = ((F.col(c) if isinstance(c, str) else c).cast("decimal(38,0)") for c in (F.col("rank_from") + F.col("n_docs"), "docs_total"))
+    enough = upto * F.lit(part.denominator).cast("decimal(19,0)") >= total * F.lit(part.numerator).cast("decimal(19,0)")
+    return suffixes.where(enough).where("n_docs > 0").agg(F.min("n_tokens").alias("n_tokens"))

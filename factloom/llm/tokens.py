@@ -25,11 +25,11 @@ from .common import strings
 _ODD_SPACE = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")) + "]")
 _ODD_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
 #: Bytes of text that are split and joined at a time.
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 #: How byte-level pre-tokenisers write a space.
 _SPACE_SIGN = "\u0120"
-#: Words in each of a cache's two generations.
-_CACHED_WORDS = 250_000
+#: Words in each of a cache's two generations, and the longest word that is kept, so a cache is bounded in bytes too.
+_CACHED_WORDS, _LONGEST = 180_000, 64
 #: ASCII signs that end a run of Latin letters in every known pre-tokeniser.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -56,7 +56,8 @@ class _Words(dict):
             else:
                 plain = self.model is not None and word.isascii() and word.isalpha()
                 ids = self._letters(word) if plain else self.encode(self.prefix + word)
-        self[word] = ids
+        if len(word) <= _LONGEST:
+            self[word] = ids
         return ids
 
     def _letters(self, word):
@@ -67,9 +68,11 @@ class _Words(dict):
     def _signs(self, run):
         ids = self.signs.get(run)
         if ids is None:
+            ids = self.encode(run)
             if len(self.signs) > 10_000:
                 self.signs.clear()
-            ids = self.signs[run] = self.encode(run)
+            if len(run) <= _LONGEST:
+                self.signs[run] = ids
         return ids
 
     def turn(self):
@@ -135,6 +138,7 @@ class Encoder:
             stop = max(at + 1, int(np.searchsorted(ends, before + _SLICE, "right")))
             yield self._slice(column.slice(at, stop - at), end, counts_only)
             at = stop
+        pa.default_memory_pool().release_unused()
 
     def _slice(self, texts: pa.Array, end: int | None, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
         try:

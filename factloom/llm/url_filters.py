@@ -8,7 +8,8 @@ by rules. A host is blocked if its distrust exceeds both its trust and
 ``threshold`` times the mean distrust that a host would have.
 
 Mass is counted in whole units, so sums don't depend on their order and every
-run gives the same verdicts. Each round is a join and a sum over host edges,
+run gives the same verdicts. Both kinds of mass are scaled to one total, so
+they can be held against each other. Each round is a join and a sum over host edges,
 kept as a table in the shared folder; pages are aggregated to host edges
 before any join, so a hot host is one row for each host it links to.
 
@@ -83,36 +84,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 24) -> DataFrame:
-    """``kind, host, mass``: personalised PageRank for each kind of seed.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.02) -> DataFrame:
+    """``kind, host, mass``: personalised PageRank for each kind of seed, of ``MASS`` in all a kind.
 
     ``edges``: kind, source, target, weight. ``seeds``: kind, host. Each kind's
-    seeds share ``MASS`` equally. Mass at hosts without links ends there, which
-    scales every score alike as if it returned to the seeds. ``rounds`` leaves
-    less than two per cent of the mass unspread.
+    seeds share ``MASS`` equally. Rounds go on until no more than ``tolerance``
+    of the mass still moves. Mass at hosts without links ends there; scaling
+    each kind to ``MASS`` at the end then scores as if it returned to the seeds.
     """
-    if edges.isEmpty():
-        rounds = 0
-    total = edges.groupBy("kind", "source").agg(F.sum("weight").alias("all"))
+    total = written(edges.groupBy("kind", "source").agg(F.sum("weight").alias("all")), "totals")  # a table, so a hub's edges can be split
     shares = edges.join(total, ["kind", "source"]).select("kind", F.col("source").alias("host"), "target", (F.col("weight") / F.col("all") * damping).alias("share"))
-    if rounds:
-        shares = written(shares, "edges")
+    shares = written(shares, "edges")
     counts = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    moving = written(seeds.join(F.broadcast(counts), "kind").select("kind", "host", F.floor(F.lit(MASS) / F.col("n")).alias("mass")), "mass")
-    tables = [moving]
-    for _ in range(rounds):
+    moving = written(seeds.join(F.broadcast(counts), "kind").select("kind", "host", F.floor(F.lit(MASS) / F.col("n")).alias("mass")), "mass")  # a count for each of two kinds
+    tables, began = [moving], None
+    while True:
+        moves = moving.agg(F.sum("mass").alias("n")).first().n or 0
+        began = moves if began is None else began
+        if moves <= tolerance * began:
+            break
         moved = moving.join(shares, ["kind", "host"]).groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.floor(F.col("mass") * F.col("share"))).alias("mass"))
         moving = written(moved.where("mass > 0"), "mass")
-        if moving.isEmpty():
-            break
         tables.append(moving)
     every = tables[0]
     for more in tables[1:]:
         every = every.unionByName(more)
-    return every.groupBy("kind", "host").agg(F.floor(F.sum("mass") * (1 - damping)).alias("mass"))
+    scored = every.groupBy("kind", "host").agg(F.sum("mass").alias("own"))
+    whole = scored.groupBy("kind").agg(F.sum("own").alias("whole"))
+    return scored.join(F.broadcast(whole), "kind").select("kind", "host", F.floor(F.col("own") / F.col("whole") * MASS).alias("mass"))  # a sum for each of two kinds
 
 
-def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 24) -> DataFrame:
+def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, tolerance: float = 0.02) -> DataFrame:
     """``host, trust, distrust, share``: both masses, and the mean mass of a host."""
     host, path = host_and_path(F.col("url"))
     ruled = pages.select(host.alias("host"), rule_for(host, path, rules)[1].alias("ruled")).where("host <> ''")
@@ -122,18 +124,18 @@ def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: floa
     forward = edges.select(F.lit("trust").alias("kind"), "source", "target", "weight")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "weight")
     seeds = by_host.where("2 * allowed > n").select(F.lit("trust").alias("kind"), "host").unionByName(by_host.where("2 * blocked > n").select(F.lit("distrust").alias("kind"), "host"))
-    scores = propagate(forward.unionByName(back), seeds, damping, rounds)
+    scores = propagate(forward.unionByName(back), seeds, damping, tolerance)
     wide = scores.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(k) for k in ("trust", "distrust")])
     hosts = by_host.count()  # one number
     return wide.withColumn("share", F.lit(MASS // max(1, hosts)).cast("long"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 24) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, damping: float = 0.85, tolerance: float = 0.02) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): host, path, rule, verdict, by_graph."""
     host, path = host_and_path(F.col("url"))
     name, verdict = rule_for(host, path, rules)
     judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("ruled"))
-    scores = host_scores(pages, rules, damping, rounds)
+    scores = host_scores(pages, rules, damping, tolerance)
     suspect = scores.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > F.col("share") * threshold)).select("host")
     # a hot host's pages are dealt over several tasks: its one row is repeated for each salt
     salted = suspect.select("host", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")).withColumn("suspect", F.lit(True))
