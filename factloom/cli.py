@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .operators.evaluation import metrics, outcome, report
 from .operators.extraction import extract_page_facts, replay
+from .operators.facts import dedup_facts
 from .operators.grounding import ground_quotes
 from .functions.identity import fact_id
-from .session import ship_package
+from .session import ship_package, written
 from .sources.labels import load_labels
 from .sources.pages import page_ranges, select_pages, text_pages
 from .sources.store import SnapshotStore
@@ -28,7 +29,7 @@ def numbers(spark: SparkSession, spec: str | None) -> set[int] | None:
 
 def grounded_facts(pages: DataFrame, extracted: DataFrame, collection: str) -> DataFrame:
     """Facts of extracted pages that are found in their document, with their place."""
-    proposed = extracted.select("doc_id", "source_doc", "page_index", F.explode("facts").alias("f")).select("doc_id", "source_doc", "page_index", "f.*")
+    proposed = extracted.select("doc_id", "source_doc", "page_index", F.posexplode("facts").alias("ord", "f")).select("doc_id", "source_doc", "page_index", "ord", "f.*")
     found = ground_quotes(proposed.withColumn("quote", F.col("evidence_span")), pages).where("grounding_method is not null")
     numbers_of = pages.select("doc_id", F.col("page_index").alias("found_on"), F.col("page_number").alias("page"))
     found = found.join(numbers_of, ["doc_id", "found_on"])
@@ -36,7 +37,8 @@ def grounded_facts(pages: DataFrame, extracted: DataFrame, collection: str) -> D
     named = {f"context_{c}": F.col(c) for c in ("period", "scope", "basis", "vintage")}
     facts = found.withColumns({"collection_id": F.lit(collection), "confidence": sure, **named})
     facts = facts.withColumn("fact_id", fact_id(F.lit(collection), F.col("source_doc"), F.col("attribute"), F.col("value_raw"), F.col("evidence_span")))
-    return facts.drop("period", "scope", "basis", "vintage", "quote", "found_on", "page_index", "score", "matched_text").dropDuplicates(["fact_id"])
+    first = dedup_facts(facts, ("page_index", "ord"))  # as the pages and their replies list them
+    return first.drop("period", "scope", "basis", "vintage", "quote", "found_on", "page_index", "score", "matched_text", "ord", "repeats")
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -45,7 +47,7 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     pages = text_pages(spark, args.input, args.collection)
     pages = select_pages(pages if args.force else store.new_only("documents", pages), numbers(spark, args.pages), args.max_pages)
     extracted = extract_page_facts(pages, replay(spark.read.json(args.replies)), exact=not args.relaxed)
-    facts = grounded_facts(pages, extracted, args.collection).persist()
+    facts = written(grounded_facts(pages, extracted, args.collection), "grounded")
     documents = pages.groupBy("doc_id", "source_doc").agg(F.count(F.lit(1)).cast("int").alias("page_count"))
     store.upsert("documents", documents.withColumn("collection_id", F.lit(args.collection)))
     store.upsert("collections", spark.createDataFrame([(args.collection, args.collection)], "collection_id string, name string"))

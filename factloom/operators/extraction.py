@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.base import trimmed
 from ..functions.identity import text_hash
 from ..functions.units import has_digit, numeric_claim
+from ..session import written
 from .grounding import is_verbatim
 
 #: Takes a frame with a ``prompt`` column and adds ``reply`` (null where the model failed) and ``error``.
@@ -123,6 +124,15 @@ def build_prompt(page_text: Column, source_doc: Column, page_number: Column) ->
     return F.concat(F.lit("Document: "), source_doc, F.lit("\nPage: "), page_number.cast("string"), F.lit("\n\n"), page_text)
 
 
+#: Added to the prompt of a page whose reply couldn't be read.
+REMINDER = "\n\nReply with a JSON list of facts and nothing else."
+
+
+def _answered(asked: DataFrame, propose: Proposer) -> DataFrame:
+    """Replies with their payloads. They are a table, so that no call is made again when an executor is lost."""
+    return written(propose(asked), "replies").withColumn("payload", parse_payload(strip_code_fences(F.col("reply"))))
+
+
 def flag_facts(facts: DataFrame, page_text: Column, exact: bool = True, digits: bool = True) -> DataFrame:
     """Proposed facts with ``verbatim`` and ``valued``: whether their page says the quote, and a unit has a number."""
     valued = ~numeric_claim(F.col("unit")) | has_digit(F.col("value_raw")) if digits else F.lit(True)
@@ -137,7 +147,12 @@ def extract_page_facts(pages: DataFrame, propose: Proposer, exact: bool = True)
     one more try, and no invented facts. Blank pages aren't sent.
     """
     asked = pages.where(trimmed(F.coalesce("text", F.lit(""))) != "").withColumn("prompt", build_prompt(F.col("text"), F.col("source_doc"), F.col("page_number")))
-    parsed = propose(asked).withColumn("payload", parse_payload(strip_code_fences(F.col("reply"))))
+    parsed = _answered(asked, propose)
+    unread = parsed.where("error is null and payload.error is not null").select(*pages.columns, F.concat("prompt", F.lit(REMINDER)).alias("prompt"))
+    again = _answered(unread, propose).where("error is null and payload.error is null")
+    named = [F.col(c) for c in pages.columns]
+    keys = [c for c in ("doc_id", "page_index") if c in pages.columns]
+    parsed = parsed.join(again.select(*keys), keys, "left_anti").select(*named, "error", "payload").unionByName(again.select(*named, "error", "payload"))
     gates = F.transform(
         "payload.facts",
         lambda f: F.struct(f.alias("fact"), is_verbatim(f["evidence_span"], F.col("text"), exact).alias("verbatim"), (~numeric_claim(f["unit"]) | has_digit(f["value_raw"])).alias("valued")),

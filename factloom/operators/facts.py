@@ -38,10 +38,14 @@ def has_resolved_unit(prefix: str = "") -> Column:
     return F.col(prefix + "unit_canonical").isNotNull() & F.col(prefix + "value_num").isNotNull()
 
 
-def is_categorical(prefix: str = "") -> Column:
-    """A state rather than a quantity: no resolved unit, and a category or a value without a single number."""
+def is_categorical(prefix: str = "", parsed: bool = False) -> Column:
+    """A state rather than a quantity: no resolved unit, and a category or a value without a single number.
+
+    ``parsed``: the facts carry ``one_number`` from their normalization.
+    """
     value = F.col(prefix + "value_raw")
-    stated = blank_to_null(F.col(prefix + "category")).isNotNull() | (blank_to_null(value).isNotNull() & units.parse_number(value).isNull())
+    number = F.col(prefix + "one_number") if parsed else units.parse_number(value).isNotNull()
+    stated = blank_to_null(F.col(prefix + "category")).isNotNull() | (blank_to_null(value).isNotNull() & ~number)
     return ~has_resolved_unit(prefix) & is_true(stated)
 
 
@@ -57,6 +61,8 @@ def resolve(facts: DataFrame) -> DataFrame:
             "signature": context.build_signature(*[F.col(f"context_{f}") for f in context.CONTEXT_FIELDS]),
             "subject_key": entities.resolve_subject_key(F.col("subject"), F.col("subject_key"), F.col("evidence_span")),
             "normalized": F.lit(True),
+            "decimals": units.decimals_of(F.col("value_raw")),
+            "one_number": units.parse_number(F.col("value_raw")).isNotNull(),
         }
     ).drop("__unit")
     capped = F.when(~is_categorical() & ~has_resolved_unit(), F.least("confidence", F.lit(UNRESOLVED_CAP)))
@@ -128,7 +134,10 @@ def normalize_facts(facts: DataFrame, batch: str = "source_doc", order: tuple[st
 
 
 def dedup_facts(facts: DataFrame, order: tuple[str, ...] = ("page", "ord")) -> DataFrame:
-    """The first of the facts that share an id within their document; ``repeats`` counts the others."""
-    w = Window.partitionBy("fact_id")
-    first = F.row_number().over(w.orderBy(*order))
-    return facts.withColumns({"__nth": first, "repeats": F.count(F.lit(1)).over(w) - 1}).where("__nth = 1").drop("__nth")
+    """The first of the facts that share an id within their document; ``repeats`` counts the others.
+
+    An aggregate, which reduces a fact that is repeated often within each task.
+    """
+    rows = facts.select("fact_id", F.struct(*order).alias("__order"), F.struct(*facts.columns).alias("__row"))
+    firsts = rows.groupBy("fact_id").agg(F.min_by("__row", "__order").alias("__row"), (F.count(F.lit(1)) - 1).alias("repeats"))
+    return firsts.select("__row.*", "repeats")

@@ -1,8 +1,8 @@
 """Finding quotes in pages: verbatim, normalized, then fuzzy, each only where the better way failed.
 
-The exact tiers are JVM expressions over an equi-join on doc_id. Only quotes
-that neither tier finds reach the fuzzy Arrow UDF, with the pages of their
-own document.
+The page that a quote was read from is tried in all ways first, then the other
+pages of its document. The exact tiers are JVM expressions over equi-joins;
+only quotes that neither finds reach the fuzzy Arrow UDF.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import collapsed, is_true
+from ..session import written
 
 MIN_SCORE = 0.85
 # Trust in a way of finding a quote.
@@ -49,25 +51,40 @@ def is_verbatim(span: Column, page: Column, exact: bool = True) -> Column:
 
 
 def fuzzy_window(quote: str, page: str, min_score: float = MIN_SCORE) -> tuple[float, str] | None:
-    """Score and text of the run of words most like a quote, two words longer or shorter at most."""
+    """Score and text of the run of words most like a quote, two words longer or shorter at most.
+
+    The signs that a run shares with the quote bound its score. They are counted
+    for all runs at once by running sums, and runs are scored from the greatest
+    bound down to the best score so far. The first of equal scores counts, by
+    number of words, then by place.
+    """
     needle, words = fold(quote), (page or "").split()
-    pairs = [(token, word) for word in words if (token := fold(word))]
-    if not needle or not pairs:
+    tokens = [fold(word) for word in words]
+    words, tokens = [w for w, t in zip(words, tokens) if t], [t for t in tokens if t]
+    if not needle or not tokens:
         return None
-    length, n = len(needle.split()), len(pairs)
-    widths = sorted({max(1, w) for w in range(length - 2, length + 3) if w <= n}) or [n]
-    matcher = SequenceMatcher(autojunk=False)
-    matcher.set_seq2(needle)
-    floor, best = min_score, None
+    wanted = needle.count(" ") + 1
+    signs, have = np.unique(list(needle), return_counts=True)
+    sums = np.zeros((len(tokens) + 1, len(signs)), np.int64)
+    sums[1:] = np.cumsum([[token.count(sign) for sign in signs] for token in tokens], axis=0)
+    ends = np.concatenate(([0], np.cumsum([len(token) for token in tokens])))
+    widths = [w for w in range(max(1, wanted - 2), wanted + 3) if w <= len(tokens)] or [len(tokens)]
+    runs = []
     for width in widths:
-        for at in range(n - width + 1):
-            matcher.set_seq1(" ".join(token for token, _ in pairs[at : at + width]))
-            if matcher.real_quick_ratio() >= floor and matcher.quick_ratio() >= floor:
-                score = matcher.ratio()
-                if score >= floor and (best is None or score > best[0]):
-                    best = score, " ".join(word for _, word in pairs[at : at + width])
-                    floor = score
-    return best
+        counts = sums[width:] - sums[:-width] + (width - 1) * (signs == " ")
+        size = ends[width:] - ends[:-width] + width - 1
+        bound = 2 * np.minimum(counts, have).sum(1) / (size + len(needle))
+        runs += [(-bound[at], width, at) for at in np.flatnonzero(bound >= min_score).tolist()]
+    matcher, best = SequenceMatcher(autojunk=False), None
+    matcher.set_seq2(needle)
+    for bound, width, at in sorted(runs):
+        if best and -bound < -best[0]:
+            break
+        matcher.set_seq1(" ".join(tokens[at : at + width]))
+        score = matcher.ratio()
+        if score >= min_score and (best is None or (-score, width, at) < best):
+            best = -score, width, at
+    return best and (-best[0], " ".join(words[best[2] : best[2] + best[1]]))
 
 
 def _fuzzy(min_score: float):
@@ -90,28 +107,37 @@ def _best(found: DataFrame) -> DataFrame:
 def ground_quotes(quotes: DataFrame, pages: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``quotes`` (doc_id, quote, page_index or null) with their best location in ``pages`` (doc_id, page_index, text).
 
-    A quote is sought on the page it was read from, and in the whole document
-    only if it isn't there. Quotes that are nowhere come out with nulls.
+    A quote is sought in all three ways on the page it was read from, and in
+    the whole document only if it isn't there. Quotes that are nowhere come out
+    with nulls.
     """
     asked = quotes.select("doc_id", "quote", F.col("page_index").alias("origin")).where(F.trim(F.coalesce("quote", F.lit(""))) != "").distinct()
-    folded = pages.select("doc_id", "page_index", "text", normalize_text("text").alias("folded"))
-    near = asked.withColumn("needle", normalize_text("quote"))
-    joined = near.join(folded, "doc_id")
-    exact = F.when(is_verbatim(F.col("quote"), F.col("text")), "search_for").when((F.col("needle") != "") & F.contains("folded", "needle"), "normalized")
-    hits = joined.withColumn("grounding_method", exact).where("grounding_method is not null")
-    hits = hits.select("doc_id", "quote", "origin", "page_index", "grounding_method", F.lit(1.0).alias("score"), F.col("quote").alias("matched_text"))
-    left = near.join(hits.select("doc_id", "quote").distinct(), ["doc_id", "quote"], "left_anti")
-    tried = left.join(folded, "doc_id").withColumn("hit", _fuzzy(min_score)("quote", "text"))
-    fuzzy = tried.where("hit.matched_text is not null").select("doc_id", "quote", "origin", "page_index", F.lit("fuzzy").alias("grounding_method"), "hit.score", "hit.matched_text")
-    found = hits.unionByName(fuzzy)
-    at_home = Window.partitionBy("doc_id", "quote", "origin")
-    found = found.withColumn("home", F.max(F.col("origin") == F.col("page_index")).over(at_home)).where("not coalesce(home, false) or origin = page_index")
+    near = written(asked.withColumn("needle", normalize_text("quote")), "quotes")
+    folded = written(pages.select("doc_id", "page_index", "text", normalize_text("text").alias("folded")), "folded")
+    home = near.join(folded, (near["doc_id"] == folded["doc_id"]) & (near["origin"] == folded["page_index"])).drop(folded["doc_id"])
+    found = written(_located(home, min_score), "at_home")
+    same = near["doc_id"].eqNullSafe(found["doc_id"]) & near["quote"].eqNullSafe(found["quote"]) & near["origin"].eqNullSafe(found["origin"])
+    away = near.join(found, same, "left_anti")
+    found = found.unionByName(_located(away.join(folded, "doc_id"), min_score))
     best = _best(found).select(F.col("doc_id").alias("__d"), F.col("quote").alias("__q"), "__origin", F.col("page_index").alias("found_on"), "grounding_method", "score", "matched_text")
     own = quotes.select("*", F.col("page_index").alias("__at"))
     same = (F.col("doc_id") == F.col("__d")) & (F.col("quote") == F.col("__q")) & F.col("__at").eqNullSafe(F.col("__origin"))
     return own.join(best, same, "left").drop("__d", "__q", "__origin", "__at")
 
 
+def _located(tried: DataFrame, min_score: float) -> DataFrame:
+    """Locations of quotes on the pages they are paired with; fuzzy ones only of quotes that no page of theirs has exactly."""
+    tried = written(tried.select("doc_id", "quote", "origin", "needle", "page_index", "text", "folded"), "tried")
+    exact = F.when(is_verbatim(F.col("quote"), F.col("text")), "search_for").when((F.col("needle") != "") & F.contains("folded", "needle"), "normalized")
+    hits = tried.withColumn("grounding_method", exact).where("grounding_method is not null")
+    hits = written(hits.select("doc_id", "quote", "origin", "page_index", "grounding_method", F.lit(1.0).alias("score"), F.col("quote").alias("matched_text")), "hits")
+    known = hits.select(F.col("doc_id").alias("d"), F.col("quote").alias("q"), F.col("origin").alias("o")).distinct()
+    left = tried.join(known, (F.col("doc_id") == F.col("d")) & (F.col("quote") == F.col("q")) & F.col("origin").eqNullSafe(F.col("o")), "left_anti")
+    left = left.withColumn("hit", _fuzzy(min_score)("quote", "text"))
+    fuzzy = left.where("hit.matched_text is not null").select("doc_id", "quote", "origin", "page_index", F.lit("fuzzy").alias("grounding_method"), "hit.score", "hit.matched_text")
+    return hits.unionByName(fuzzy)
+
+
 def line_rects(words: DataFrame, keys: list[str]) -> DataFrame:
     """One box for each text line of the matched words (keys, block, line, position, x0, y0, x1, y1), in reading order."""
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]

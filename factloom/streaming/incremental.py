@@ -1,8 +1,10 @@
 """Incremental reconciliation: micro-batches of facts against all that is stored.
 
-The store's content keys make every step repeatable, so a replayed batch
-leaves the same tables. The pool isn't a stream: facts have no event time that
-would bound a stream-to-stream join, so each batch joins the stored table.
+The store's content keys make every step repeatable. A batch's relationships
+are stored before its facts, so facts that are stored have theirs: a batch that
+failed half way still counts as new when it is replayed, and one that is done
+changes nothing. The pool isn't a stream: facts have no event time that would
+bound a stream-to-stream join, so each batch joins the stored table.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.facts import normalize_facts
 from ..operators.matching import find_candidates
 from ..operators.verdicts import judge, relationships
+from ..session import written
 from ..sources.store import SnapshotStore
 
 
@@ -23,31 +26,31 @@ def reconcile_batch(store: SnapshotStore, facts: DataFrame, replace_pages: bool
     With ``replace_pages`` the batch takes the place of all facts stored for
     the pages that it has.
     """
-    normalized = normalize_facts(facts)
+    normalized = written(normalize_facts(facts), "batch")
     known = store.read("facts")
     if replace_pages and known is not None:
-        pages = facts.select("doc_id", "page").distinct()
-        store.publish("facts", known.join(pages, ["doc_id", "page"], "left_anti"))
-    store.upsert("facts", normalized)
-    pool = store.read("facts")
-    new = pool.join(facts.select("fact_id").distinct(), "fact_id", "left_semi").select("fact_id")
-    pairs = find_candidates(pool, new_fact_ids=new)
+        known = known.join(facts.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    pool = written(store.merged("facts", normalized, known), "pool")
+    pairs = find_candidates(pool, new_fact_ids=normalized.select("fact_id"))
     store.upsert("relationships", relationships(judge(pairs)))
+    store.publish("facts", pool)
 
 
-def new_documents_only(store: SnapshotStore, facts: DataFrame) -> DataFrame:
-    """Facts of documents that the store has none of yet."""
-    known = store.read("facts")
-    return facts if known is None else facts.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+def new_facts_only(store: SnapshotStore, facts: DataFrame) -> DataFrame:
+    """Facts that the store doesn't have yet, of documents known and new."""
+    return store.new_only("facts", facts)
 
 
 def reconcile_stream(store: SnapshotStore, facts: DataFrame, checkpoint: str, skip_known: bool = True, once: bool = True) -> StreamingQuery:
-    """Run a stream of written facts into the store; ``once`` works off what is there and ends."""
+    """Run a stream of written facts into the store; ``once`` works off what is there and ends.
+
+    ``skip_known`` leaves facts alone that are stored, else they are updated.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
         rows = batch.persist()
         try:
-            reconcile_batch(store, new_documents_only(store, rows) if skip_known else rows)
+            reconcile_batch(store, new_facts_only(store, rows) if skip_known else rows)
         finally:
             rows.unpersist()
 
