@@ -25,11 +25,6 @@ def document_stem(name: Column) -> Column:
     return F.lower(F.regexp_replace(base, r"(?<=.)\.[^.]+$", ""))
 
 
-def document_matches() -> Column:
-    named = F.coalesce("l.document", F.lit("")) != ""
-    return ~named | is_true(document_stem(F.col("l.document")) == F.lower(F.coalesce("f.source_doc", F.lit(""))))
-
-
 def subject_matches() -> Column:
     left, right = entities.normalize_name(F.col("l.subject")), entities.normalize_name(F.col("f.subject"))
     return (left == "") | (right == "") | F.contains(left, right) | F.contains(right, left)
@@ -69,15 +64,18 @@ def scored_pairs(labels: DataFrame, facts: DataFrame, threshold: float = ATTRIBU
     tokens = left.select(F.col("token").alias("token_l")).distinct().join(F.broadcast(right.select(F.col("token").alias("token_f")).distinct()))
     spoken = tokens.withColumns({s: F.replace(F.col(f"token_{s}"), F.lit("_"), F.lit(" ")) for s in "lf"})
     alike = with_similarity(spoken, "l", "f", "similarity").where(F.col("similarity") >= threshold).select("token_l", "token_f", "similarity")
-    l = left.select(F.col("token").alias("token_l"), "label_ord", F.struct(*left.columns).alias("l"))
-    f = right.select(F.col("token").alias("token_f"), "fact_ord", F.struct(*right.columns).alias("f"))
-    pairs = l.join(alike, "token_l").join(f, "token_f").where(document_matches() & subject_matches())
+    l = left.select(F.col("token").alias("token_l"), "label_ord", F.struct(*left.columns).alias("l")).join(alike, "token_l")
+    f = right.select(F.col("token").alias("token_f"), "fact_ord", F.struct(*right.columns).alias("f"), F.lower(F.coalesce("source_doc", F.lit(""))).alias("stem"))
+    # labels that name a document only meet its facts
+    named = F.coalesce("l.document", F.lit("")) != ""
+    pairs = l.where(named).withColumn("stem", document_stem(F.col("l.document"))).join(f, ["token_f", "stem"])
+    pairs = pairs.unionByName(l.where(~named).join(f, "token_f").select(*pairs.columns)).where(subject_matches())
     hit = values_match() & period_matches()
     agrees = (F.size(F.coalesce("l.pages", F.array().cast("array<int>"))) <= 0) | is_true(F.array_contains("l.pages", F.col("f.page")))
     return pairs.select("label_ord", "fact_ord", "similarity", hit.alias("hit"), agrees.alias("page_agrees"))
 
 
-def greedy_matching(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 200) -> DataFrame:
+def greedy_matching(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 40) -> DataFrame:
     """Edges of the one-to-one matching that takes the most similar pair first (label_ord, fact_ord, similarity).
 
     Ties go to the smaller label_ord, then fact_ord. Each round takes all edges
@@ -88,16 +86,16 @@ def greedy_matching(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | N
     """
     keep = keep or _kept
     order = [F.desc("similarity"), "label_ord", "fact_ord"]
-    left, taken = keep(edges.select("label_ord", "fact_ord", "similarity")), None
+    left, taken = edges.select("label_ord", "fact_ord", "similarity"), None
     for _ in range(rounds):
-        ranked = left.withColumns({k: F.row_number().over(Window.partitionBy(c).orderBy(*order)) for k, c in (("rl", "label_ord"), ("rf", "fact_ord"))})
-        best = keep(ranked.where("rl = 1 and rf = 1").drop("rl", "rf"))
+        ranked = keep(left.withColumns({k: F.row_number().over(Window.partitionBy(c).orderBy(*order)) for k, c in (("rl", "label_ord"), ("rf", "fact_ord"))}))
+        best = ranked.where("rl = 1 and rf = 1").drop("rl", "rf")
         if best.isEmpty():
             break
         taken = best if taken is None else taken.unionByName(best)
-        left = keep(left.join(best.select("label_ord"), "label_ord", "left_anti").join(best.select("fact_ord"), "fact_ord", "left_anti"))
+        left = ranked.drop("rl", "rf").join(best.select("label_ord"), "label_ord", "left_anti").join(best.select("fact_ord"), "fact_ord", "left_anti")
     else:
-        rest = keep(left.repartition(1).sortWithinPartitions(*order).mapInArrow(_chosen, left.schema))
+        rest = keep(left.select("label_ord", "fact_ord", "similarity").repartition(1).sortWithinPartitions(*order).mapInArrow(_chosen, edges.select("label_ord", "fact_ord", "similarity").schema))
         taken = rest if taken is None else taken.unionByName(rest)
     return edges.select("label_ord", "fact_ord", "similarity").limit(0) if taken is None else taken
 

@@ -145,38 +145,47 @@ def adjudication_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjudication.apply_adjudication(rows).select("k", "reason_text", F.round("confidence", 6).alias("confidence"), "adjudicated")
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "SELECT l_orderkey % 97 AS label_ord, l_partkey % 89 AS fact_ord, CAST(max(l_linenumber * 7 + l_suppkey % 5) AS DOUBLE) AS similarity FROM {lineitem} GROUP BY 1, 2"
-    return sql(spark, sf_dir, text, "lineitem")
+#: Edges within each supplier's lines, so that keys and matches grow with the table.
+_EDGES = "SELECT l_suppkey AS b, l_suppkey * 1000 + l_orderkey % 97 AS label_ord, l_suppkey * 1000 + l_partkey % 89 AS fact_ord, CAST(max(l_linenumber * 7 + l_quantity) AS DOUBLE) AS similarity FROM {0} GROUP BY 1, 2, 3"
 
 
 @query(
-    """
-    WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY similarity DESC, label_ord, fact_ord) AS n, * FROM (SELECT l_orderkey % 97 AS label_ord, l_partkey % 89 AS fact_ord, CAST(max(l_linenumber * 7 + l_suppkey % 5) AS DOUBLE) AS similarity FROM lineitem GROUP BY 1, 2)),
-    g AS (SELECT 1 AS n, [e.label_ord] AS ls, [e.fact_ord] AS fs, TRUE AS taken, label_ord, fact_ord, similarity FROM e WHERE n = 1
-        UNION ALL SELECT e.n, CASE WHEN t THEN list_append(g.ls, e.label_ord) ELSE g.ls END, CASE WHEN t THEN list_append(g.fs, e.fact_ord) ELSE g.fs END, t, e.label_ord, e.fact_ord, e.similarity
-        FROM g JOIN (SELECT * FROM e) e ON e.n = g.n + 1, LATERAL (SELECT NOT list_contains(g.ls, e.label_ord) AND NOT list_contains(g.fs, e.fact_ord) AS t))
+    f"""
+    WITH RECURSIVE e AS (SELECT row_number() OVER (PARTITION BY b ORDER BY similarity DESC, label_ord, fact_ord) AS n, * FROM ({_EDGES.format("lineitem")})),
+    g AS (SELECT 1 AS n, b, [e.label_ord] AS ls, [e.fact_ord] AS fs, TRUE AS taken, label_ord, fact_ord, similarity FROM e WHERE n = 1
+        UNION ALL SELECT e.n, e.b, CASE WHEN t THEN list_append(g.ls, e.label_ord) ELSE g.ls END, CASE WHEN t THEN list_append(g.fs, e.fact_ord) ELSE g.fs END, t, e.label_ord, e.fact_ord, e.similarity
+        FROM g JOIN (SELECT * FROM e) e ON e.n = g.n + 1 AND e.b = g.b, LATERAL (SELECT NOT list_contains(g.ls, e.label_ord) AND NOT list_contains(g.fs, e.fact_ord) AS t))
     SELECT label_ord, fact_ord, similarity FROM g WHERE taken"""
 )
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy_matching(_edges(spark, sf_dir))
-
-
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels on customers' facts of 1998: right ones, wrong values, and subjects without facts."""
-    text = """SELECT c_custkey AS label_ord, 'publisher 0.pdf' AS document, 'Customer ' || c_custkey AS subject, CASE WHEN c_custkey % 3 = 0 THEN 'total_price' ELSE 'headcount' END AS attribute, '₹' AS unit, 'FY1998' AS period,
-        array(CAST(1 + c_custkey % 50 AS INT)) AS pages FROM {customer} WHERE c_custkey % 10 = 0"""
-    labels = sql(spark, sf_dir, text, "customer")
-    known = stated_facts(spark, sf_dir).where("source_doc = 'publisher 0' and signature.period.fiscal_year = 1998").select(F.regexp_extract("subject", r"(\d+)", 1).cast("long").alias("label_ord"), "value_raw")
-    wrong = F.when(F.col("label_ord") % 20 == 0, F.concat(F.col("value_raw"), F.lit("0")))
-    return labels.join(known, "label_ord", "left").withColumn("value", F.coalesce(wrong, "value_raw", F.lit("1"))).drop("value_raw")
+    return greedy_matching(sql(spark, sf_dir, _EDGES.format("{lineitem}"), "lineitem"))
+
+
+def _labels(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
+    """Labels on all customers' facts of every year by publisher 0: right ones, wrong values, and attributes without facts."""
+    customers = sql(spark, sf_dir, "SELECT c_custkey AS c FROM {customer}", "customer")
+    own = facts.where("doc_id = 'doc0'").select(F.regexp_extract("subject", r"(\d+)", 1).cast("long").alias("c"), F.col("signature.period.fiscal_year").alias("fy"), "value_raw", F.col("page").alias("p"))
+    rows = customers.join(own, "c", "left")
+    text = F.col("c").cast("string")
+    wrong = F.when(F.col("c") % 20 == 0, F.concat(F.col("value_raw"), F.lit("0")))
+    return rows.select(
+        F.xxhash64("c", "fy").alias("label_ord"),
+        F.concat(F.lit("doc0 customer "), text, F.lit(".pdf")).alias("document"),
+        F.concat(F.lit("Customer "), text).alias("subject"),
+        F.when(F.col("c") % 3 == 0, "headcount").otherwise("total_price").alias("attribute"),
+        F.coalesce(wrong, "value_raw", F.lit("1")).alias("value"),
+        F.lit("₹").alias("unit"),
+        F.concat(F.lit("FY"), F.coalesce("fy", F.lit(1998)).cast("string")).alias("period"),
+        F.array("p").alias("pages"),
+    )
 
 
 @query()
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of metrics of the labels above against one publisher's facts."""
-    facts = stated_facts(spark, sf_dir).where("source_doc = 'publisher 0'")
-    facts = written(facts.withColumn("fact_ord", F.xxhash64("fact_id")), "facts")
-    labels = written(_labels(spark, sf_dir), "labels")
-    matches, _, spurious = outcome(labels, facts)
+    """One row of metrics of the labels above against all publishers' facts, each customer's a document of its own."""
+    facts = stated_facts(spark, sf_dir)
+    own = F.concat("doc_id", F.lit(" customer "), F.regexp_extract("subject", r"(\d+)", 1))
+    scored = written(facts.withColumns({"fact_ord": F.xxhash64("fact_id"), "source_doc": own}), "facts")
+    labels = written(_labels(spark, sf_dir, facts), "labels")
+    matches, _, spurious = outcome(labels, scored)
     return metrics(labels, matches, spurious)

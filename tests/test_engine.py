@@ -298,3 +298,84 @@ def test_stream_equals_batch(spark, tmp_path):
     reconcile_stream(parts, stream, str(tmp_path / "checkpoint")).awaitTermination()
     key = ["relationship_id", "verdict", "reason_code"]
     assert sorted(map(tuple, whole.read("relationships").select(*key).collect())) == sorted(map(tuple, parts.read("relationships").select(*key).collect()))
+
+
+def test_stream_keeps_facts_of_a_document_split_over_batches(spark, tmp_path):
+    rows = [fact(d, v, "₹", evidence="CIN L00001MH1995PLC000001", n=k) for k, (d, v) in enumerate((("a", "5"), ("b", "5"), ("a", "6")))]
+    store = SnapshotStore(spark, "file://" + str(tmp_path / "store"))
+    for k, row in enumerate(rows):  # the first document comes in two batches
+        frame(spark, row).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        reconcile_stream(store, stream, str(tmp_path / "checkpoint")).awaitTermination()
+        assert store.read("facts").count() == k + 1
+    assert store.read("relationships").count() == 2
+
+
+def test_a_batch_that_failed_half_way_is_done_again(spark, tmp_path, monkeypatch):
+    from factloom.streaming.incremental import new_facts_only
+
+    rows = [fact(d, "5", "₹", evidence="CIN L00001MH1995PLC000001") for d in "ab"]
+    store = SnapshotStore(spark, "file://" + str(tmp_path / "store"))
+    publish = SnapshotStore.publish
+
+    def broken(self, table, frame_of):
+        if table == "facts":
+            raise OSError("lost")
+        return publish(self, table, frame_of)
+
+    monkeypatch.setattr(SnapshotStore, "publish", broken)
+    with pytest.raises(OSError, match="lost"):
+        reconcile_batch(store, frame(spark, *rows))
+    monkeypatch.undo()
+    again = new_facts_only(store, frame(spark, *rows))
+    assert again.count() == 2
+    reconcile_batch(store, again)
+    assert store.read("facts").count() == 2 and store.read("relationships").count() == 1
+    assert "created_at" in store.read("facts").columns and new_facts_only(store, frame(spark, *rows)).count() == 0
+
+
+def test_grounding_tries_home_in_all_ways_first(spark):
+    quote = "revenue grew by nine per cent in the year under review"
+    pages = spark.createDataFrame([("d", 0, "so revenue grew by nine per cent in that year under review too"), ("d", 5, quote)], "doc_id string, page_index int, text string")
+    asked = spark.createDataFrame([("d", quote, 0), ("d", quote, None), ("d", quote, 3)], "doc_id string, quote string, page_index int")
+    got = {r.page_index: (r.found_on, r.grounding_method) for r in grounding.ground_quotes(asked, pages).collect()}
+    assert got == {0: (0, "fuzzy"), None: (5, "search_for"), 3: (5, "search_for")}
+
+
+def test_fuzzy_windows_equal_a_search_of_all(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(2)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "Ép", "ﬁne", "net", "of", "the", "—"]
+    for _ in range(150):
+        page = [rng.choice(vocabulary) for _ in range(rng.randint(1, 25))]
+        at = rng.randrange(len(page))
+        words = page[at : at + rng.randint(1, 7)]
+        quote = " ".join(w if rng.random() < 0.8 else rng.choice(vocabulary) for w in words)
+        needle, best = grounding.fold(quote), None
+        length = len(needle.split())
+        tokens = [grounding.fold(w) for w in page]
+        for width in [w for w in range(max(1, length - 2), length + 3) if w <= len(page)] or [len(page)]:
+            for k in range(len(page) - width + 1):
+                score = SequenceMatcher(None, " ".join(tokens[k : k + width]), needle, autojunk=False).ratio()
+                if score >= 0.85 and (best is None or score > best[0]):
+                    best = score, " ".join(page[k : k + width])
+        assert grounding.fuzzy_window(quote, " ".join(page)) == best
+
+
+def test_unreadable_replies_are_asked_for_once_more(spark):
+    from factloom.operators.extraction import REMINDER
+
+    pages = spark.createDataFrame([("d", "doc", 0, 1, "sales were 5 crore"), ("d", "doc", 1, 2, "more text")], "doc_id string, source_doc string, page_index int, page_number int, text string")
+    good = json.dumps([{"subject": "A", "attribute": "sales", "value_raw": "5", "evidence_span": "sales were 5 crore"}])
+
+    def propose(prompts):
+        mine = F.col("prompt").endswith(REMINDER) & F.col("prompt").contains("sales")
+        return prompts.withColumns({"reply": F.when(mine, good).otherwise("no list"), "error": F.lit(None).cast("string")})
+
+    got = {r.page_index: r for r in extraction.extract_page_facts(pages, propose).collect()}
+    assert got[0].error is None and len(got[0].facts) == 1 and got[1].error and got[1].facts == []
+
+
+def test_pages_that_labels_cite():
+    assert label_files.read_pages("3; 4,x, 5") == [3, 4, 5] and label_files.read_pages([1, "2", None, 1.5]) == [1, 2] and label_files.read_pages(7) == [7] and label_files.read_pages(None) == []
