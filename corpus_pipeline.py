@@ -34,12 +34,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return mixing.sample(docs, vocabulary_path("word_bpe_49k.json"), MIX)
+    return mixing.sample(docs, vocabulary_path("word_bpe_49k.json"), MIX, lean=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=0, capacity=2048, lean=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

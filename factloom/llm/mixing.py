@@ -62,7 +62,11 @@ class Mix:
 def topic_of(text: str) -> int:
     """Bucket of a document: signs of its frequent words' hash bits, each weighed by its count."""
     counts = Counter(text.split())
-    common = heapq.nlargest(_TOPIC_WORDS, [(n, w) for w, n in counts.items() if len(w) > 3])
+    common = [(n, w) for w, n in counts.items() if n > 1 and len(w) > 3]
+    if len(common) < _TOPIC_WORDS:  # words that occur once come after all others, and are compared as plain words
+        common += [(1, w) for w in heapq.nlargest(_TOPIC_WORDS - len(common), [w for w, n in counts.items() if n == 1 and len(w) > 3])]
+    else:
+        common = heapq.nlargest(_TOPIC_WORDS, common)
     sums = [0] * _TOPIC_BITS
     for n, word in common:
         h = zlib.crc32(word.encode("utf-8", "replace"))
@@ -71,12 +75,12 @@ def topic_of(text: str) -> int:
     return sum(1 << k for k in range(_TOPIC_BITS) if sums[k] > 0)
 
 
-def measured(docs: DataFrame, tokenizer: str, seed: int, *carried: str) -> DataFrame:
+def measured(docs: DataFrame, tokenizer: str, seed: int, *carried: str, lean: bool = False) -> DataFrame:
     """``doc_id, source, lang, u, topic, n_tokens`` of all rows, and 64-bit columns that are ``carried`` along; u is the row's uniform hash."""
     columns = ["doc_id", "source", "lang", "u", *carried]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, lean)
         for batch in batches:
             text = batch.column("text")
             topics = pa.array([topic_of(t) for at in range(0, len(text), _ROWS) for t in strings(text.slice(at, _ROWS))], pa.int32())
@@ -175,10 +179,10 @@ def _drawn(rows: DataFrame, mix: Mix, max_cells: int) -> DataFrame:
     return joined.withColumn("drawn", F.col("u") < F.col("probability"))
 
 
-def sample(docs: DataFrame, tokenizer: str, mix: Mix = Mix(), max_cells: int = MAX_CELLS) -> DataFrame:
-    """The drawn rows of ``docs``, with all their columns; texts are measured once, and neither drawn nor other rows move."""
+def sample(docs: DataFrame, tokenizer: str, mix: Mix = Mix(), max_cells: int = MAX_CELLS, lean: bool = False) -> DataFrame:
+    """The drawn rows of ``docs``, with all their columns; texts are measured once, and neither drawn nor other rows move. ``lean`` is the encoder's."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text")]
-    rows = written(measured(docs.withColumn("__fl_text_id", key[1]), tokenizer, mix.seed, "__fl_text_id"), "measured")
+    rows = written(measured(docs.withColumn("__fl_text_id", key[1]), tokenizer, mix.seed, "__fl_text_id", lean=lean), "measured")
     judged = _drawn(rows, mix, max_cells).select(key[0].alias("id"), F.col("__fl_text_id").alias("text_id"), "drawn")
     judged = written(judged, "drawn")
     return bloom.without(docs, key, judged.select("id", "text_id"), written(judged.where("not drawn").select("id", "text_id").distinct(), "leave"))

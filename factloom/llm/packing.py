@@ -34,7 +34,7 @@ _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, shard
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, lean: bool = False) -> DataFrame:
     """Encoded documents cut into pieces of at most ``capacity``, without their ids.
 
     ``local_rank`` counts the pieces of one length within their task, ``shard``.
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, lean), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows, doc_ids = [], iter(batch.column("doc_id").to_pylist())
@@ -256,9 +256,9 @@ class Slots:
         return self.sequence[k] + nth // self.each[k], self.offset[k] + nth % self.each[k] * length
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """Per piece of ``docs`` (doc_id, text): its place in sequences of at most ``capacity`` tokens."""
-    pieces = written(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, lean: bool = False) -> DataFrame:
+    """Per piece of ``docs`` (doc_id, text): its place in sequences of at most ``capacity`` tokens. ``lean`` is the encoder's."""
+    pieces = written(cut_pieces(docs, tokenizer, end_id, capacity, lean), "pieces")
     by_shard = written(pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r.length: r.n for r in by_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     slots = Slots.of(plan(histogram, capacity))

@@ -24,12 +24,13 @@ from .common import strings
 #: White space of either regex engine other than space and line feed.
 _ODD_SPACE = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")) + "]")
 _ODD_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
-#: Bytes of text that are split and joined at a time.
-_SLICE = 1 << 21
+#: Bytes of text that are split and joined at a time, and words in each of a cache's two generations; both are less for lean encoders.
+_SLICE, _CACHED_WORDS = 1 << 22, 250_000
+_LEAN_SLICE, _LEAN_WORDS = 1 << 21, 180_000
 #: How byte-level pre-tokenisers write a space.
 _SPACE_SIGN = "\u0120"
-#: Words in each of a cache's two generations, and the longest word that is kept, so a cache is bounded in bytes too.
-_CACHED_WORDS, _LONGEST = 180_000, 64
+#: The longest word that is kept, so a cache is bounded in bytes too.
+_LONGEST = 64
 #: ASCII signs that end a run of Latin letters in every known pre-tokeniser.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -41,9 +42,9 @@ class _Words(dict):
     in use come back, so memory is bounded and frequent words stay.
     """
 
-    def __init__(self, encode, model=None, code="H", prefix="", folds_case=False):
+    def __init__(self, encode, model=None, code="H", prefix="", folds_case=False, most=_CACHED_WORDS):
         super().__init__()
-        self.encode, self.model, self.code, self.prefix, self.folds_case, self.old, self.signs = encode, model, code, prefix, folds_case, {}, {}
+        self.encode, self.model, self.code, self.prefix, self.folds_case, self.most, self.old, self.signs = encode, model, code, prefix, folds_case, most, {}, {}
 
     def __missing__(self, word):
         ids = self.old.get(word)
@@ -76,7 +77,7 @@ class _Words(dict):
         return ids
 
     def turn(self):
-        if len(self) > _CACHED_WORDS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -85,10 +86,12 @@ class Encoder:
     """Encodes whole texts to the little-endian bytes of their ids.
 
     The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``;
-    ``dtype`` is the narrowest unsigned type that holds the vocabulary.
+    ``dtype`` is the narrowest unsigned type that holds the vocabulary. A
+    ``lean`` encoder takes less memory and more time, for jobs whose workers
+    also hold other operators' memory; ids are the same.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -96,8 +99,9 @@ class Encoder:
         self._kind = _kind(path)
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         model = None if self._kind == "other" else self._tokenizer.model
-        self._bare = _Words(self.whole, model, self._code, folds_case=self._kind == "spaceless")
-        self._led = _Words(self.whole, model, self._code, " ")
+        self._slice_bytes, most = (_LEAN_SLICE, _LEAN_WORDS) if lean else (_SLICE, _CACHED_WORDS)
+        self._bare = _Words(self.whole, model, self._code, folds_case=self._kind == "spaceless", most=most)
+        self._led = _Words(self.whole, model, self._code, " ", most=most)
         self._line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -135,7 +139,7 @@ class Encoder:
         at = 0
         while at < len(column):
             before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + _SLICE, "right")))
+            stop = max(at + 1, int(np.searchsorted(ends, before + self._slice_bytes, "right")))
             yield self._slice(column.slice(at, stop - at), end, counts_only)
             at = stop
         pa.default_memory_pool().release_unused()
@@ -201,9 +205,9 @@ def _text(value: str) -> pa.Scalar:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, lean: bool = False) -> Encoder:
     """The worker's own encoder for a tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, lean)
 
 
 def _kind(path: str) -> str:

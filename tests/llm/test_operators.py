@@ -70,8 +70,10 @@ def test_encoder_equals_the_library(path, texts):
                 at += 1
         assert at == len(many)
     plain = [t for t in many if t and "  " not in t]
-    counts = np.concatenate([np.diff(o) for _, o in enc.encode_column(pa.array(plain), counts_only=True)])
-    assert counts.tolist() == [len(enc.whole(t)) // enc.dtype.itemsize for t in plain]
+    lean = tokens.Encoder(path, lean=True)
+    for e in (enc, lean):
+        counts = np.concatenate([np.diff(o) for _, o in e.encode_column(pa.array(plain), counts_only=True)])
+        assert counts.tolist() == [len(enc.whole(t)) // enc.dtype.itemsize for t in plain]
 
 
 def test_token_output_round_trip(spark, docs, empty):
@@ -425,6 +427,19 @@ def test_mixing(spark, docs, empty):
     assert all(abs(spread[g.source, g.lang, g.topic] - g.probability) < 1e-9 for g in got)
 
 
+def test_topics_against_a_plain_sort():
+    def plain(text):
+        common = sorted(((n, w) for w, n in Counter(text.split()).items() if len(w) > 3), reverse=True)[:24]
+        sums = [sum(n if zlib.crc32(w.encode()) >> k & 1 else -n for n, w in common) for k in range(3)]
+        return sum(1 << k for k, x in enumerate(sums) if x > 0)
+
+    rng = random.Random(9)
+    for words in (0, 3, 20, 24, 25, 40, 400):
+        for spread in (1, 8, 30, 500):
+            text = " ".join(f"word{rng.randint(0, spread)}" if rng.random() < 0.8 else "the" for _ in range(words))
+            assert mixing.topic_of(text) == plain(text), text
+
+
 def test_raking_meets_reachable_margins():
     rng = np.random.default_rng(2)
     cells = [(s, lang, t) for s in "abc" for lang in "xy" for t in range(3)]
