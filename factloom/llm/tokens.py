@@ -99,6 +99,7 @@ class Encoder:
         self._kind = _kind(path)
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         model = None if self._kind == "other" else self._tokenizer.model
+        self._lean = lean
         self._slice_bytes, most = (_LEAN_SLICE, _LEAN_WORDS) if lean else (_SLICE, _CACHED_WORDS)
         self._bare = _Words(self.whole, model, self._code, folds_case=self._kind == "spaceless", most=most)
         self._led = _Words(self.whole, model, self._code, " ", most=most)
@@ -142,7 +143,8 @@ class Encoder:
             stop = max(at + 1, int(np.searchsorted(ends, before + self._slice_bytes, "right")))
             yield self._slice(column.slice(at, stop - at), end, counts_only)
             at = stop
-        pa.default_memory_pool().release_unused()
+        if self._lean:  # pages given back are cleared anew when they are taken again
+            pa.default_memory_pool().release_unused()
 
     def _slice(self, texts: pa.Array, end: int | None, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
         try:
