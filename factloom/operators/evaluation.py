@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import entities, periods, units
 from ..functions.base import is_true
 from ..functions.context import canonical_token
-from ..functions.similarity import with_similarity
+from ..functions.similarity import similarity_join
 from ..session import written
 from .facts import has_resolved_unit
 
@@ -56,14 +56,14 @@ def values_match() -> Column:
 def scored_pairs(labels: DataFrame, facts: DataFrame, threshold: float = ATTRIBUTE_THRESHOLD) -> DataFrame:
     """``label_ord, fact_ord, similarity, hit`` of labels and facts whose document, subject and attribute agree.
 
-    Attributes are compared as distinct pairs of tokens first, and the join of
-    labels and facts then runs on those tokens, so it is an equi-join.
+    Attributes are compared as distinct tokens that share an entry of their
+    vectors first, and the join of labels and facts then runs on those tokens,
+    so all joins are equi-joins.
     """
     left = labels.withColumn("token", canonical_token(F.col("attribute"))).where("token is not null")
     right = facts.withColumn("token", canonical_token(F.col("attribute"))).where("token is not null")
-    tokens = left.select(F.col("token").alias("token_l")).distinct().join(F.broadcast(right.select(F.col("token").alias("token_f")).distinct()))
-    spoken = tokens.withColumns({s: F.replace(F.col(f"token_{s}"), F.lit("_"), F.lit(" ")) for s in "lf"})
-    alike = with_similarity(spoken, "l", "f", "similarity").where(F.col("similarity") >= threshold).select("token_l", "token_f", "similarity")
+    spoken = {s: df.select(F.col("token").alias(f"token_{s}"), F.replace("token", F.lit("_"), F.lit(" ")).alias(s)).distinct() for s, df in (("l", left), ("f", right))}
+    alike = similarity_join(spoken["l"], "l", spoken["f"], "f", threshold, "similarity").select("token_l", "token_f", "similarity")
     l = left.select(F.col("token").alias("token_l"), "label_ord", F.struct(*left.columns).alias("l")).join(alike, "token_l")
     f = right.select(F.col("token").alias("token_f"), "fact_ord", F.struct(*right.columns).alias("f"), F.lower(F.coalesce("source_doc", F.lit(""))).alias("stem"))
     # labels that name a document only meet its facts

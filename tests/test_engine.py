@@ -15,6 +15,7 @@ from factloom.sources import labels as label_files
 from factloom.sources import pages as page_sources
 from factloom.sources.store import SnapshotStore, embedded, upserted
 from factloom.sources.views import NotFound, ReadApi
+from factloom.functions import similarity
 from factloom.functions.similarity import MODEL, hash_embed
 from factloom.streaming.incremental import reconcile_batch, reconcile_stream
 
@@ -247,6 +248,21 @@ def test_evaluation(spark):
     assert (none.recall, none.precision, none.f1) == (0, 0, 0)
 
 
+def test_similarity_join_against_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["net", "total", "revenue", "revenues", "income", "profit", "tax", "margin", "cost", "of", "sales", "growth", "rate", "per", "share"]
+    texts = ["", "-", "é", "x", *{" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(150)}]
+    some, other = texts[:80] + texts[:1], texts[:4] + texts[60:]
+    a, b = (spark.createDataFrame([(t,) for t in [*x, None]], f"{c} string") for c, x in (("l", some), ("r", other)))
+    for threshold in (0.3, 0.55, 0.9):
+        got = {(r.l, r.r): r.s for r in similarity.similarity_join(a, "l", b, "r", threshold, "s").collect()}
+        want = {(x, y): 1.0 if x == y else similarity.text_cosine(x, y) for x in some for y in other}
+        want = {k: v for k, v in want.items() if v >= threshold}
+        assert got == pytest.approx(want) and len(want) > 20
+    none = similarity.similarity_join(a.limit(0), "l", b, "r", 0.5, "s")
+    assert none.isEmpty() and "NestedLoop" not in none._jdf.queryExecution().toString() and "Cartesian" not in none._jdf.queryExecution().toString()
+
+
 def test_store_and_read_api(spark, tmp_path):
     store = SnapshotStore(spark, "file://" + str(tmp_path / "store"))
     assert store.read("facts") is None
