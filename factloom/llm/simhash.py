@@ -22,11 +22,14 @@ positions within each of four groups of eight positions. A pair that shares
 five positional bytes or more shares two in one of the groups, so it meets in
 a list: five is the minimum that the count filter asks for. Pairs that differ
 in more bits than the similarity leads to, plus two standard deviations, are
-dropped as well. A pair is handled in the first of its lists only. All that
-is left is verified on the shingle sets themselves (64-bit hashes) before it
-links. First every text's nearest in each list is verified, which links nearly
-all that belongs together; then all pairs whose ends aren't linked yet. Only
-texts with such a pair have their sets made and moved. No number of shared
+dropped as well. A pair counts in the first of its lists only, and a list hands
+on a spanning forest of its pairs, never the pairs. Components of the forests
+are canopies: no candidate pair leaves one. Each canopy's members meet once, in
+tiles of bounded size, where all candidate pairs that aren't linked yet are
+verified on the shingle sets themselves (64-bit hashes). A canopy beyond one
+tile has its forest verified first, and what that links to its largest cluster
+meets the others alone. Only members of canopies have their sets made and moved,
+and only edges that join clusters leave a tile. No number of shared
 bytes follows from a Jaccard similarity for certain, so a few links near the
 threshold are missed; tests hold recall against brute force.
 
@@ -259,7 +262,10 @@ _SHORT = 16
 _TILE = (128, 2048)
 #: Standard deviations by which a pair may exceed the differing bits that its similarity leads to.
 _SLACK = 2.0
-_NONE = np.iinfo(np.int64).max
+#: Pairs of one list that are held before they are cut to a forest.
+_HELD = 1 << 20
+#: Members, and their shingles, that are compared in one task.
+TILE_MEMBERS, TILE_SHINGLES = 1024, 1 << 22
 _GOLDEN, _MIX_1, _MIX_2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -333,64 +339,89 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * votes > n).view(np.uint64)
 
 
-def _candidates(index: Index, similarity: float, cross: bool):
-    """Reads wide postings (key, node, root, n, words) sorted by key; yields pairs of nodes (a, b), each from one list only.
+def spanning(low: np.ndarray, high: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (low, high) that form a spanning forest of least ``bits``: one pair fewer than members in each cluster."""
+    order = np.argsort(bits, kind="stable")  # a pair's place in it breaks ties
+    ends, at = np.unique(np.concatenate((low[order], high[order])), return_inverse=True)
+    tails, heads = at[: len(low)], at[len(low) :]
+    label, left, chosen = np.arange(len(ends)), np.arange(len(low)), []
+    while True:
+        a, b = label[tails[left]], label[heads[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            break
+        best = np.full(len(ends), len(low))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        picked = np.unique(best[best < len(low)])
+        chosen.append(picked)
+        while True:
+            a, b = label[tails[picked]], label[heads[picked]]
+            if (a == b).all():
+                break
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != label[label]).any():
+                label = label[label]
+    kept = order[np.concatenate(chosen)] if chosen else order[:0]
+    return low[kept], high[kept], bits[kept]
 
-    Pairs share ``index.least`` positional bytes, differ in few enough bits,
-    and have sizes that allow ``similarity``. With ``cross`` all pairs of
-    different roots come out, else for each node the pair with its nearest.
-    """
-    least, max_bits, shift = index.least, index.max_bits(similarity), 8 * index.key_bytes
 
-    def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _fitting(prints: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (low, high) that may be similar, and their differing bits: their sizes allow it, they share ``index.least`` positional bytes and differ in few enough bits."""
+    fit = np.minimum(sizes[low], sizes[high]) >= similarity * np.maximum(sizes[low], sizes[high]) - 1e-9
+    low, high = low[fit], high[fit]
+    apart = prints[low] ^ prints[high]
+    some = np.flatnonzero(shared_bytes(apart) >= index.least)  # the count filter
+    bits = np.bitwise_count(apart[some]).sum(-1, dtype=np.int64)
+    some, bits = some[bits <= index.max_bits(similarity)], bits[bits <= index.max_bits(similarity)]
+    return low[some], high[some], bits
+
+
+def _candidates(index: Index, similarity: float):
+    """Reads wide postings (key, node, n, words) sorted by key; yields for each list a spanning forest (a, b) of its candidates.
+
+    A pair counts in the first of its lists only. However many pairs a list
+    has, fewer than its members come out.
+    """
+    shift = 8 * index.key_bytes
 
-    def close(keys, nodes, roots, sizes, *words) -> Iterator[pa.RecordBatch]:
+    def close(keys, nodes, sizes, *words) -> Iterator[pa.RecordBatch]:
         prints = np.stack([w.view(np.uint64) for w in words], axis=1)
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         counts = np.diff(cuts)
-        best = np.full(len(keys), _NONE)
-
-        def kept(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            fit = roots[low] != roots[high]
-            fit &= np.minimum(sizes[low], sizes[high]) >= similarity * np.maximum(sizes[low], sizes[high]) - 1e-9
-            low, high = low[fit], high[fit]
-            apart = prints[low] ^ prints[high]
-            some = np.flatnonzero(shared_bytes(apart) >= least)  # the count filter
-            bits = np.bitwise_count(apart[some]).sum(-1, dtype=np.int64)
-            some, bits = some[bits <= max_bits], bits[bits <= max_bits]
-            own = index.first_choice(apart[some]) == keys[low[some]] >> shift
-            low, high, bits = low[some[own]], high[some[own]], bits[own]
-            if not cross:
-                np.minimum.at(best, low, bits << 40 | high)
-                np.minimum.at(best, high, bits << 40 | low)
-            return low, high
+
+        def kept(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            low, high, bits = _fitting(prints, sizes, low, high, index, similarity)
+            own = index.first_choice(prints[low] ^ prints[high]) == keys[low] >> shift
+            return low[own], high[own], bits[own]
+
+        def forest(pairs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return spanning(*map(np.concatenate, zip(*pairs)))
+
+        def batch(pairs: list[tuple]) -> Iterator[pa.RecordBatch]:
+            low, high, _ = forest(pairs) if pairs else ((), (), ())
+            if len(low):
+                a, b = nodes[low], nodes[high]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         place, size = np.arange(len(keys)) - np.repeat(cuts[:-1], counts), np.repeat(counts, counts)
-        rows = np.flatnonzero((size > 1) & (size <= _SHORT))
+        rows, found = np.flatnonzero((size > 1) & (size <= _SHORT)), []
         for gap in range(1, _SHORT):
             rows = rows[place[rows] + gap < size[rows]]
             if not len(rows):
                 break
-            low, high = kept(rows, rows + gap)
-            if cross and len(low):
-                yield batch(nodes[low], nodes[high])
+            found.append(kept(rows, rows + gap))
+        yield from batch(found)
         for k in np.flatnonzero(counts > _SHORT):
-            first, end = cuts[k], cuts[k + 1]
-            if (roots[first:end] == roots[first]).all():
-                continue
+            first, end, found = cuts[k], cuts[k + 1], []
             for at in range(first, end, _TILE[0]):
                 for other in range(at, end, _TILE[1]):
                     low, high = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + _TILE[0], end)), np.arange(other, min(other + _TILE[1], end)), indexing="ij"))
-                    low, high = kept(low[low < high], high[low < high])
-                    if cross and len(low):
-                        yield batch(nodes[low], nodes[high])
-        if not cross:
-            low = np.flatnonzero(best < _NONE)
-            high = best[low] & ((1 << 40) - 1)
-            pairs = np.unique(np.stack((np.minimum(low, high), np.maximum(low, high))), axis=1)
-            if pairs.size:
-                yield batch(nodes[pairs[0]], nodes[pairs[1]])
+                    found.append(kept(low[low < high], high[low < high]))
+                    if sum(len(x[0]) for x in found) > _HELD:
+                        found = [forest(found)]
+            yield from batch(found)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in _whole_lists(batches):
@@ -399,8 +430,8 @@ def _candidates(index: Index, similarity: float, cross: bool):
     return sweep
 
 
-def _candidate_pairs(nodes: DataFrame, index: Index, similarity: float, cross: bool) -> DataFrame:
-    """``a, b``: candidates among ``nodes`` (node, root, n, words), as a table."""
+def _candidate_edges(nodes: DataFrame, index: Index, similarity: float) -> DataFrame:
+    """``a, b``: distinct edges between ``nodes`` (node, n, words), a table, whose components are those of all candidate pairs."""
     words = [f"w{k}" for k in range(index.words)]
 
     def key(n: int, chosen: tuple[int, ...]):
@@ -409,9 +440,116 @@ def _candidate_pairs(nodes: DataFrame, index: Index, similarity: float, cross: b
             out = F.shiftleft(out, 8).bitwiseOR(F.shiftrightunsigned(F.col(words[i // 8]), 8 * (i % 8)).bitwiseAND(F.lit(255)))
         return out
 
-    keys = F.array(*[key(n, chosen) for n, chosen in enumerate(index.choices)])
-    posted = nodes.select(F.explode(keys).alias("key"), "node", "root", "n", *words).repartition("key").sortWithinPartitions("key")
-    return written(posted.mapInArrow(_candidates(index, similarity, cross), "a long, b long"), "candidates")
+    by_first: dict[int, list] = {}
+    for n, chosen in enumerate(index.choices):
+        by_first.setdefault(chosen[0], []).append(key(n, chosen))
+    firsts = F.array(*[key(i, (i,)) for i in by_first])
+    keys = F.lit(None)
+    for i, own in by_first.items():
+        keys = F.when(F.shiftright("first", 8) == i, F.array(*own)).otherwise(keys)
+    # a fingerprint moves once for the choices that begin with one position, and is posted under each where it arrives
+    moved = nodes.select(F.explode(firsts).alias("first"), "node", "n", *words).repartition("first")
+    posted = moved.select(F.explode(keys).alias("key"), "node", "n", *words).sortWithinPartitions("key")
+    return written(posted.mapInArrow(_candidates(index, similarity), "a long, b long"), "candidates")
+
+
+def _tiles(members: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float, most: int, shingles: int) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` (node, canopy, n and more) once for each tile (canopy, i, j) that they are compared in, with their block and root, and links that the roots rest on.
+
+    A canopy of at most ``most`` members and ``shingles`` is one tile. In a
+    larger one the ``edges`` are verified first. Members that they link to the
+    largest cluster need not meet each other: they are dealt over blocks of
+    their own, all others over further blocks, and a tile is a pair of blocks
+    of which one at least is of the others.
+    """
+    total = members.groupBy("canopy").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    large = written(total.where((F.col("c") > most) | (F.col("s") > shingles)).select("canopy"), "large")
+    if large.isEmpty():
+        return members.select("*", *[F.lit(0).alias(x) for x in ("block", "i", "j")], F.col("node").alias("root")), None
+    few = dealt_anew(large, "canopy").withColumn("large", F.lit(True))
+    known = members.join(few, "canopy", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    inside = edges.join(known.where("large").select(F.col("node").alias("a")), "a", "left_semi")
+    linked = _verified(inside, sets, similarity)
+    known = written(known.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    parts = known.where("large").groupBy("canopy", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    first = F.max(F.struct("c", "s", "root"))
+    sums = parts.groupBy("canopy").agg(first.alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+    def blocks(count, size):  # a tile has two
+        return F.greatest(F.ceil(2 * count / most), F.ceil(2 * size / shingles)).cast("int")
+
+    rest = F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")
+    sums = sums.select("canopy", F.col("top.root").alias("top"), blocks(F.col("top.c"), F.col("top.s")).alias("tops"), F.when(rest[0] > 0, blocks(*rest)).otherwise(0).alias("others"))
+    placed = known.join(dealt_anew(sums, "canopy"), "canopy", "left")
+    is_top, dealt = F.col("root") == F.col("top"), F.xxhash64("node")
+    placed = placed.where("not large or others > 0").withColumn(
+        "block", F.when(~F.col("large"), 0).when(is_top, F.pmod(dealt, "tops")).otherwise(F.col("tops") + F.pmod(dealt, F.greatest("others", F.lit(1)))).cast("int")
+    )
+    with_all = F.sequence(F.when(F.col("large") & is_top, F.col("tops")).otherwise(0), F.when(F.col("large"), F.col("tops") + F.col("others") - 1).otherwise(0))
+    placed = placed.withColumn("other", F.explode(with_all))
+    return placed.select(*members.columns, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "root"), linked
+
+
+def _linked_tiles(index: Index, similarity: float):
+    """Reads (canopy, i, j, block, root, node, n, shingles, words) sorted by the first three; yields edges (a, b) that join the clusters of each tile.
+
+    All candidates of different roots are verified on their sets. Members of
+    one block are compared only in the tile of that block with itself, where
+    ``i`` equals ``j``.
+    """
+
+    def linked(whole, blocks, roots, nodes, sizes, sets, *words) -> Iterator[pa.RecordBatch]:
+        prints = np.stack([w.view(np.uint64) for w in words], axis=1)
+        label = np.unique(roots, return_inverse=True)[1]
+        parts = [np.frombuffer(x, np.uint64) for x in sets]
+        starts = np.cumsum([0, *map(len, parts)])
+        numbers, tails, heads = None, [], []
+        for row in range(len(nodes) - 1):
+            others = row + 1 + np.flatnonzero((label[row + 1 :] != label[row]) & (whole | (blocks[row + 1 :] != blocks[row])))
+            _, others, _ = _fitting(prints, sizes, np.full(len(others), row), others, index, similarity)
+            if not len(others):
+                continue
+            if numbers is None:  # shingles of the tile, numbered
+                found, numbers = np.unique(np.concatenate(parts), return_inverse=True)
+                mine = np.zeros(len(found), bool)
+            own = numbers[starts[row] : starts[row + 1]]
+            mine[own] = True
+            shared = np.array([np.count_nonzero(mine[numbers[starts[x] : starts[x + 1]]]) for x in others])
+            mine[own] = False
+            close = others[shared >= similarity * (sizes[row] + sizes[others] - shared) - 1e-9]
+            joined, first = np.unique(label[close], return_index=True)
+            if len(joined):
+                tails.append(np.full(len(joined), nodes[row]))
+                heads.append(nodes[close[first]])
+                label[np.isin(label, joined)] = label[row]
+        if tails:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tails)), pa.array(np.concatenate(heads))], names=["a", "b"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def tile() -> Iterator[pa.RecordBatch]:
+            if sum(x.num_rows for x in held) < 2:
+                return
+            columns = list(zip(*(x.columns[3:] for x in held)))
+            numbers = [np.concatenate([x.to_numpy() for x in columns[k]]) for k in range(len(columns)) if k != 4]
+            sets = [v.as_buffer() for x in columns[4] for v in x]
+            yield from linked(held[0].column(1)[0] == held[0].column(2)[0], *numbers[:4], sets, *numbers[4:])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = [0, *(1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1))), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if held and tuple(held[-1].column(k)[0].as_py() for k in range(3)) != tuple(keys[start].tolist()):
+                    yield from tile()
+                    held.clear()
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from tile()
+
+    return each
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -446,7 +584,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return written(texts.mapInArrow(gather, "node long, shingles binary"), "sets")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, index: Index = Index()) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, index: Index = Index(), members: int = TILE_MEMBERS, shingles: int = TILE_SHINGLES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): component_id, the smallest doc_id reached over links of ``similarity`` or more."""
     words = [f"w{k}" for k in range(index.words)]
 
@@ -468,12 +606,15 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, ind
     # equal shingle sets are one node
     first = [F.min("doc_id").alias("low"), F.min("text_id").alias("text_id"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]]
     nodes = written(prints.groupBy("node").agg(*first), "nodes")
-    nearest = _candidate_pairs(nodes.withColumn("root", F.col("node")), index, similarity, cross=False)
-    active = written(nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("low"), "node"), "active")
+    edges = written(_candidate_edges(nodes, index, similarity).distinct(), "edges")
+    canopies = components(edges).withColumnRenamed("root", "canopy")
+    active = written(canopies.join(nodes.drop("low"), "node"), "active")
     sets = _shingle_sets(docs, active.select("node", "text_id"), width)
-    linked = _verified(nearest, sets, similarity)
-    rooted = active.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = linked.union(_verified(_candidate_pairs(rooted, index, similarity, cross=True), sets, similarity))
+    tiles, before = _tiles(active.drop("text_id"), edges, sets, similarity, members, shingles)
+    order = ["canopy", "i", "j"]
+    tiles = tiles.join(sets, "node").select(*order, "block", "root", "node", "n", "shingles", *words).repartition(*order).sortWithinPartitions(*order)
+    linked = written(tiles.mapInArrow(_linked_tiles(index, similarity), "a long, b long"), "links")
+    linked = linked if before is None else linked.union(before)
     return prints.select("doc_id", "node").join(component_ids(nodes.select("node", "low"), linked, "node"), "node").select("doc_id", "component_id")
 
 

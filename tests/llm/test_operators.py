@@ -373,6 +373,67 @@ def test_similar_groups_against_brute_force(spark):
     assert all(top(k) == top(got[k]) for k in got)  # no link that isn't there
 
 
+def test_a_group_of_near_copies_makes_no_pairs(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng, index = random.Random(3), simhash.Index()
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(120):  # similarities of 0.6 to 1 between any two, so many candidates aren't links
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(300)] = f"x{rng.randrange(5000)}"
+        rows.append((k, " ".join(words)))
+    hashes = [np.unique(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    words = np.array([simhash.wide_fingerprint(simhash.shingle_hashes(t.encode(), 5), 4) for _, t in rows]).view(np.int64)
+    words[:, 0] = words[0, 0]  # all meet in the list of the first two bytes
+    key = int(words[0, :1].view(np.uint8)[0]) << 8 | int(words[0, :1].view(np.uint8)[1])
+    columns = [np.full(120, key), np.arange(120), np.array([len(h) for h in hashes]), *words.T]
+    names = ["key", "node", "n", "w0", "w1", "w2", "w3"]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+    edges = [tuple(e.values()) for b in simhash._candidates(index, 0.8)(iter([batch])) for e in b.to_pylist()]
+    assert 60 < len(edges) < 120 and all(a < b for a, b in edges)
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if 10 * len(np.intersect1d(hashes[a], hashes[b])) >= 8 * len(np.union1d(hashes[a], hashes[b]))]
+    assert 100 < len(links) < 120 * 119 // 2 - 100
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, members=16).collect()}  # many tiles
+    assert sum(got[k] == top(k) for k in got) >= 0.97 * len(got) and all(top(k) == top(got[k]) for k in got)
+
+
+def test_spanning_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    low, high, bits = rng.integers(0, 80, 300), rng.integers(80, 200, 300), rng.integers(0, 9, 300)
+    a, b, w = simhash.spanning(low, high, bits)
+    root = list(range(200))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    weight, edges = 0, 0
+    for k in np.argsort(bits, kind="stable"):
+        x, y = top(low[k]), top(high[k])
+        if x != y:
+            root[x], weight, edges = y, weight + int(bits[k]), edges + 1
+    assert len(a) == edges and int(w.sum()) == weight and all(top(x) == top(y) for x, y in zip(a, b))
+    assert len(simhash.spanning(low[:0], high[:0], bits[:0])[0]) == 0
+
+
 def test_keep_one(spark, docs, empty):
     kept = simhash.keep_one(docs)
     groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect() if r.doc_id is not None}
