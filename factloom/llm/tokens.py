@@ -82,6 +82,13 @@ class _Words(dict):
             self.clear()
 
 
+class _Sizes(_Words):
+    """Word to the number of its ids: smaller than the ids, and no array is made for a new stem."""
+
+    def _letters(self, word):
+        return len(self.model.tokenize(word.lower() if self.folds_case else _SPACE_SIGN + word if self.prefix else word))
+
+
 class Encoder:
     """Encodes whole texts to the little-endian bytes of their ids.
 
@@ -101,17 +108,30 @@ class Encoder:
         model = None if self._kind == "other" else self._tokenizer.model
         self._lean = lean
         self._slice_bytes, most = (_LEAN_SLICE, _LEAN_WORDS) if lean else (_SLICE, _CACHED_WORDS)
-        self._bare = _Words(self.whole, model, self._code, folds_case=self._kind == "spaceless", most=most)
-        self._led = _Words(self.whole, model, self._code, " ", most=most)
-        self._line = self.whole("\n")
+        folds = self._kind == "spaceless"
+        self._bare, self._led = (_Words(self.whole, model, self._code, *x, most=most) for x in (("", folds), (" ",)))
+        self._sizes = [_Sizes(self._length, model, self._code, *x, most=most) for x in (("", folds), (" ",))]
+        self._line, self._counting = self.whole("\n"), False
 
     def whole(self, text: str) -> bytes:
         """Encoded by the library in one piece."""
         return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _length(self, text: str) -> int:
+        return len(self._tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _turn_to(self, counting: bool) -> None:
+        """Words of the other use, ids or counts, are forgotten, so a worker holds one kind of cache at a time."""
+        if counting != self._counting:
+            for words in (self._bare, self._led, *self._sizes):
+                words.clear()
+                words.old = {}
+            self._counting = counting
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        self._turn_to(False)
         self._bare.turn()
         self._led.turn()
         if self._kind == "spaceless":  # spaces only separate, so words stand alone
@@ -135,6 +155,7 @@ class Encoder:
         Arrow, so Python only sees each distinct word of a slice. With
         ``counts_only`` the ids are left out.
         """
+        self._turn_to(counts_only)
         column = column.cast(pa.large_string()).fill_null("")
         ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
         at = 0
@@ -153,7 +174,12 @@ class Encoder:
             plain = np.zeros(len(texts), bool)
         if plain.all():
             return self._joined(texts, end, counts_only)
-        fast, offsets = self._joined(texts.filter(pa.array(plain)), end, False)
+        fast, offsets = self._joined(texts.filter(pa.array(plain)), end, counts_only)
+        if counts_only:
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[plain] = np.diff(offsets)
+            sizes[~plain] = [self._length(text) + (end is not None) for text in strings(texts.filter(pa.array(~plain)))]
+            return fast, np.concatenate(([0], np.cumsum(sizes)))
         nth, parts, tail = 0, [], b"" if end is None else np.array([end], self.dtype).tobytes()
         for text, is_plain in zip(strings(texts), plain):
             parts.append(fast[offsets[nth] : offsets[nth + 1]] if is_plain else np.frombuffer(self.whole(text) + tail, self.dtype))
@@ -170,8 +196,9 @@ class Encoder:
         return ~odd.to_numpy(zero_copy_only=False)
 
     def _joined(self, texts: pa.Array, end: int | None, counts_only: bool) -> tuple[np.ndarray, np.ndarray]:
-        self._bare.turn()
-        self._led.turn()
+        bare, led = self._sizes if counts_only else (self._bare, self._led)
+        bare.turn()
+        led.turn()
         # marks that no plain text holds: of the end, and of a text's first word, which has no space before it
         if self._kind == "spaceless":
             marked, last = pc.replace_substring(texts, "\n", " "), "\n"
@@ -181,9 +208,11 @@ class Encoder:
             marked = pc.binary_join_element_wise(marked, _text(last), _text(" "))
         words = pc.split_pattern(marked, " ")
         coded = words.flatten().dictionary_encode()
-        tail = b"" if end is None else np.array([end], self.dtype).tobytes()
-        known = [tail if w == last else self._word(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        tail, line = b"" if end is None else np.array([end], self.dtype).tobytes(), self._line
+        if counts_only:
+            tail, line = len(tail) // self.dtype.itemsize, len(line) // self.dtype.itemsize
+        known = [tail if w == last else self._word(w, bare, led, line) for w in coded.dictionary.to_pylist()]
+        sizes = np.array(known, np.int64) if counts_only else np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         index = coded.indices.to_numpy()
         ends = np.concatenate(([0], np.cumsum(sizes[index])))
         offsets = words.offsets.to_numpy()
@@ -194,12 +223,12 @@ class Encoder:
         take = np.repeat((starts[index] - ends[:-1]).astype(np.int32), sizes[index]) + np.arange(ends[-1], dtype=np.int32)  # of one slice
         return np.frombuffer(b"".join(known), self.dtype)[take], offsets
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str, bare: _Words, led: _Words, line: bytes | int) -> bytes | int:
         if self._kind == "spaceless":
-            return self._bare[word]
+            return bare[word]
         if word[:1] == "\n":
-            return self._line + self._bare[word[1:]]
-        return self._bare[word[1:]] if word[:1] == "\r" else self._led[word]
+            return line + bare[word[1:]]
+        return bare[word[1:]] if word[:1] == "\r" else led[word]
 
 
 def _text(value: str) -> pa.Scalar:

@@ -76,6 +76,18 @@ def test_encoder_equals_the_library(path, texts):
         assert counts.tolist() == [len(enc.whole(t)) // enc.dtype.itemsize for t in plain]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_counting_keeps_no_ids(path):
+    enc = tokens.Encoder(path)
+    some = ["plain words, and more words.", "two  spaces\tand a tab", "", "line\nline Words", "\u3000odd\u3000", "x" * 90]
+    for end in (None, 2):
+        for counting in (True, False, True):  # a change of use forgets the other's words
+            offsets = np.concatenate([o for _, o in enc.encode_column(pa.array(some), end, counting)])
+            assert np.diff(offsets).tolist() == [len(enc._tokenizer.encode(t, add_special_tokens=False).ids) + (end is not None) for t in some]
+            kept = [v for words in (enc._bare, enc._led, *enc._sizes) for v in words.values()]
+            assert kept and all(isinstance(v, int) == counting for v in kept)
+
+
 def test_token_output_round_trip(spark, docs, empty):
     dataset = token_output.write_tokens(docs, BYTE, 2)
     got = dataset.documents(spark).orderBy("position").collect()
