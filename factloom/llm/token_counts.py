@@ -28,17 +28,22 @@ from .tokens import encoder
 BLOCK = 64
 
 
-def length_histogram(docs: DataFrame, tokenizer: str, end_tokens: int = 1) -> DataFrame:
-    """``n_tokens long, n_docs long``: how many documents have each encoded length."""
+def _counter(tokenizer: str, end_tokens: int):
+    """Reads batches of texts; yields one (length, count) batch. Lean, since two workers and a full heap share an executor's memory."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lengths = encoder(tokenizer), Counter()
+        enc, lengths = encoder(tokenizer, lean=True), Counter()
         for batch in batches:
             for _, offsets in enc.encode_column(batch.column(0), counts_only=True):
                 lengths.update((np.diff(offsets) + end_tokens).tolist())
         yield pa.RecordBatch.from_arrays([pa.array(list(lengths), pa.int64()), pa.array(list(lengths.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
-    counted = docs.select("text").mapInArrow(count, "n_tokens long, n_docs long")
+    return count
+
+
+def length_histogram(docs: DataFrame, tokenizer: str, end_tokens: int = 1) -> DataFrame:
+    """``n_tokens long, n_docs long``: how many documents have each encoded length."""
+    counted = docs.select("text").mapInArrow(_counter(tokenizer, end_tokens), "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 

@@ -204,6 +204,14 @@ def brute_pagerank(edges, seeds, damping, tolerance=0.02):
     return defaultdict(float, {h: m / whole for h, m in total.items()})
 
 
+def test_token_counts_are_lean(monkeypatch):
+    asked = []
+    monkeypatch.setattr(token_counts, "encoder", lambda path, lean=False: asked.append(lean) or tokens.Encoder(path, lean))
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two", None, "one two"])], names=["text"])
+    (got,) = token_counts._counter(BYTE, 1)(iter([batch]))
+    assert sorted(got.column("n_docs").to_pylist()) == [1, 2] and asked == [True]
+
+
 def test_url_rules_and_hosts(spark):
     rows = [
         (1, "HTTP://A.Net/x?y#z", None),
