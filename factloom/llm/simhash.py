@@ -22,9 +22,10 @@ positions within each of four groups of eight positions. A pair that shares
 five positional bytes or more shares two in one of the groups, so it meets in
 a list: five is the minimum that the count filter asks for. Pairs that differ
 in more bits than the similarity leads to, plus two standard deviations, are
-dropped as well. A pair counts in the first of its lists only, and a list hands
-on a spanning forest of its pairs, never the pairs. Components of the forests
-are canopies: no candidate pair leaves one. Each canopy's members meet once, in
+dropped as well. A pair counts in the first of its lists only, and a task hands
+on a spanning forest of the pairs of all its lists, never the pairs. Before
+components are sought, the edges of many tasks are cut to stars in fewer tasks.
+The components are canopies: no candidate pair leaves one. Each canopy's members meet once, in
 tiles of bounded size, where all candidate pairs that aren't linked yet are
 verified on the shingle sets themselves (64-bit hashes). A canopy beyond one
 tile has its forest verified first, and what that links to its largest cluster
@@ -42,7 +43,7 @@ result; further columns are ignored by ``near_groups`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import combinations
@@ -262,7 +263,7 @@ _SHORT = 16
 _TILE = (128, 2048)
 #: Standard deviations by which a pair may exceed the differing bits that its similarity leads to.
 _SLACK = 2.0
-#: Pairs of one list that are held before they are cut to a forest.
+#: Pairs that a task holds before they are cut to a forest.
 _HELD = 1 << 20
 #: Members, and their shingles, that are compared in one task.
 TILE_MEMBERS, TILE_SHINGLES = 1024, 1 << 22
@@ -339,6 +340,17 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * votes > n).view(np.uint64)
 
 
+def _lowered(label: np.ndarray, tails: np.ndarray, heads: np.ndarray) -> None:
+    """Lowers ``label``, in place, until both ends of each pair (tails, heads) bear the smallest label of their cluster."""
+    while True:
+        a, b = label[tails], label[heads]
+        if (a == b).all():
+            break
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
 def spanning(low: np.ndarray, high: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Those of the pairs (low, high) that form a spanning forest of least ``bits``: one pair fewer than members in each cluster."""
     order = np.argsort(bits, kind="stable")  # a pair's place in it breaks ties
@@ -356,17 +368,58 @@ def spanning(low: np.ndarray, high: np.ndarray, bits: np.ndarray) -> tuple[np.nd
         np.minimum.at(best, b, left)
         picked = np.unique(best[best < len(low)])
         chosen.append(picked)
-        while True:
-            a, b = label[tails[picked]], label[heads[picked]]
-            if (a == b).all():
-                break
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while (label != label[label]).any():
-                label = label[label]
+        _lowered(label, tails[picked], heads[picked])
     kept = order[np.concatenate(chosen)] if chosen else order[:0]
     return low[kept], high[kept], bits[kept]
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from all nodes of the pairs (a, b) to the smallest node of their cluster."""
+    ends, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = np.arange(len(ends))
+    _lowered(label, at[: len(a)], at[len(a) :])
+    rest = np.flatnonzero(label != np.arange(len(ends)))
+    return ends[rest], ends[label[rest]]
+
+
+def _cut(pairs: Iterator[tuple], fewer: Callable, most: int) -> Iterator[pa.RecordBatch]:
+    """``pairs``, columns that begin with a and b, cut by ``fewer`` as one, or each time that over half of ``most`` are left of those held; yields a and b."""
+
+    def batch(a: np.ndarray, b: np.ndarray, *_) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held, n = [], 0
+    for part in pairs:
+        held.append(part)
+        n += len(part[0])
+        if n > most:
+            held = [fewer(*map(np.concatenate, zip(*held)))]
+            n = len(held[0][0])
+            if 2 * n > most:
+                yield batch(*held[0])
+                held, n = [], 0
+    if n:
+        yield batch(*fewer(*map(np.concatenate, zip(*held))))
+
+
+def sparse(edges: DataFrame, most: int = _HELD) -> DataFrame:
+    """Edges (a, b) of the same components as those of ``edges``, a table: stars of the clusters of each ``most`` edges or so, again while that halves them.
+
+    Up to ``most`` edges, fewer edges than nodes come out.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut(([column.to_numpy() for column in batch.columns] for batch in batches if batch.num_rows), stars, 2 * most)
+
+    n = edges.count()  # from Parquet footers
+    while True:
+        tasks, before = max(1, -(-n // most)), n
+        edges = written(edges.select("a", "b").coalesce(tasks).mapInArrow(each, "a long, b long"), "stars")
+        n = edges.count()
+        if tasks == 1 or 2 * n > before:
+            return edges
+
+
 def _fitting(prints: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs (low, high) that may be similar, and their differing bits: their sizes allow it, they share ``index.least`` positional bytes and differ in few enough bits."""
     fit = np.minimum(sizes[low], sizes[high]) >= similarity * np.maximum(sizes[low], sizes[high]) - 1e-9
@@ -379,14 +432,14 @@ def _fitting(prints: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.nd
 
 
 def _candidates(index: Index, similarity: float):
-    """Reads wide postings (key, node, n, words) sorted by key; yields for each list a spanning forest (a, b) of its candidates.
+    """Reads wide postings (key, node, n, words) sorted by key; yields a spanning forest (a, b) of the candidates of all lists.
 
-    A pair counts in the first of its lists only. However many pairs a list
-    has, fewer than its members come out.
+    A pair counts in the first of its lists only. However many lists and pairs
+    a task has, about as many edges as it has nodes come out at most.
     """
     shift = 8 * index.key_bytes
 
-    def close(keys, nodes, sizes, *words) -> Iterator[pa.RecordBatch]:
+    def close(keys, nodes, sizes, *words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         prints = np.stack([w.view(np.uint64) for w in words], axis=1)
         cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         counts = np.diff(cuts)
@@ -399,11 +452,11 @@ def _candidates(index: Index, similarity: float):
         def forest(pairs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return spanning(*map(np.concatenate, zip(*pairs)))
 
-        def batch(pairs: list[tuple]) -> Iterator[pa.RecordBatch]:
-            low, high, _ = forest(pairs) if pairs else ((), (), ())
+        def cut(pairs: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            low, high, bits = forest(pairs) if pairs else ((), (), ())
             if len(low):
                 a, b = nodes[low], nodes[high]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield np.minimum(a, b), np.maximum(a, b), bits
 
         place, size = np.arange(len(keys)) - np.repeat(cuts[:-1], counts), np.repeat(counts, counts)
         rows, found = np.flatnonzero((size > 1) & (size <= _SHORT)), []
@@ -412,7 +465,7 @@ def _candidates(index: Index, similarity: float):
             if not len(rows):
                 break
             found.append(kept(rows, rows + gap))
-        yield from batch(found)
+        yield from cut(found)
         for k in np.flatnonzero(counts > _SHORT):
             first, end, found = cuts[k], cuts[k + 1], []
             for at in range(first, end, _TILE[0]):
@@ -421,17 +474,16 @@ def _candidates(index: Index, similarity: float):
                     found.append(kept(low[low < high], high[low < high]))
                     if sum(len(x[0]) for x in found) > _HELD:
                         found = [forest(found)]
-            yield from batch(found)
+            yield from cut(found)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lists in _whole_lists(batches):
-            yield from close(*lists)
+        yield from _cut((pairs for lists in _whole_lists(batches) for pairs in close(*lists)), spanning, _HELD)
 
     return sweep
 
 
 def _candidate_edges(nodes: DataFrame, index: Index, similarity: float) -> DataFrame:
-    """``a, b``: distinct edges between ``nodes`` (node, n, words), a table, whose components are those of all candidate pairs."""
+    """``a, b``: distinct edges between ``nodes`` (node, n, words), a table, whose components are those of all candidate pairs; a written table."""
     words = [f"w{k}" for k in range(index.words)]
 
     def key(n: int, chosen: tuple[int, ...]):
@@ -469,7 +521,7 @@ def _tiles(members: DataFrame, edges: DataFrame, sets: DataFrame, similarity: fl
     few = dealt_anew(large, "canopy").withColumn("large", F.lit(True))
     known = members.join(few, "canopy", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     inside = edges.join(known.where("large").select(F.col("node").alias("a")), "a", "left_semi")
-    linked = _verified(inside, sets, similarity)
+    linked = sparse(_verified(inside, sets, similarity))
     known = written(known.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     parts = known.where("large").groupBy("canopy", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     first = F.max(F.struct("c", "s", "root"))
@@ -606,8 +658,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, ind
     # equal shingle sets are one node
     first = [F.min("doc_id").alias("low"), F.min("text_id").alias("text_id"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]]
     nodes = written(prints.groupBy("node").agg(*first), "nodes")
-    edges = written(_candidate_edges(nodes, index, similarity).distinct(), "edges")
-    canopies = components(edges).withColumnRenamed("root", "canopy")
+    edges = _candidate_edges(nodes, index, similarity)
+    canopies = components(sparse(edges)).withColumnRenamed("root", "canopy")
     active = written(canopies.join(nodes.drop("low"), "node"), "active")
     sets = _shingle_sets(docs, active.select("node", "text_id"), width)
     tiles, before = _tiles(active.drop("text_id"), edges, sets, similarity, members, shingles)
@@ -615,7 +667,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, ind
     tiles = tiles.join(sets, "node").select(*order, "block", "root", "node", "n", "shingles", *words).repartition(*order).sortWithinPartitions(*order)
     linked = written(tiles.mapInArrow(_linked_tiles(index, similarity), "a long, b long"), "links")
     linked = linked if before is None else linked.union(before)
-    return prints.select("doc_id", "node").join(component_ids(nodes.select("node", "low"), linked, "node"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(component_ids(nodes.select("node", "low"), sparse(linked), "node"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, index: Index = Index()) -> DataFrame:

@@ -432,6 +432,39 @@ def test_a_group_of_near_copies_makes_no_pairs(spark):
     assert sum(got[k] == top(k) for k in got) >= 0.97 * len(got) and all(top(k) == top(got[k]) for k in got)
 
 
+def test_components_get_fewer_edges_than_nodes(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(200):  # near copies, which meet in many lists
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(300)] = f"x{rng.randrange(5000)}"
+        rows.append((k, " ".join(words)))
+    seen, real = [], simhash.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r.component_id for r in simhash.similar_groups(frame, members=m).collect()} for m in (simhash.TILE_MEMBERS, 16))
+    assert len(one) == 200 and one == many and max(Counter(one.values()).values()) > 100
+    assert len(seen) == 5 and 100 < max(seen) < 200
+
+
+@pytest.mark.parametrize("most", [1 << 20, 60])
+def test_sparse_edges_keep_components(spark, most):
+    rng = random.Random(4)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] * 4 + [(k, k + 1) for k in range(-300, -200)] + [(5, 5)]
+    table = simhash.written(spark.createDataFrame(edges, "a long, b long").repartition(6), "edges")
+    thin = simhash.sparse(table, most)
+    want, got = ({r.node: r.root for r in graph.components(x).collect()} for x in (table, thin))
+    assert got == want and (most < 100 or thin.count() < len(want))
+    assert simhash.sparse(table.where("a > 500")).count() == 0
+
+
 def test_spanning_forest():
     import numpy as np
 
