@@ -6,13 +6,14 @@ must give from the same columns, without parsing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import context, entities, periods, units
-from ..functions.similarity import cosine, text_similarity
+from ..functions.similarity import text_similarity
 from ..operators.facts import bind_strong_keys, completed, map_board_status
 from ..operators.matching import weak_key_clusters
+from ..operators.nearest import nearest
 from .registry import query, sql, table
 
 
@@ -303,12 +304,8 @@ def value_agreement_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stated set of query vectors, those whose id 100 divides, against all vectors; the best five each."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("other_id"), F.round(cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
-    # the rank filter becomes a group limit, so each task passes on five rows a query
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "other_id"))
-    return scored.withColumn("rank", rank.cast("long")).where("rank <= 5")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return nearest(e, e.where("id % 100 = 0"), 5)
 
 
 @query()
