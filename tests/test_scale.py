@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from factloom.operators.facts import bind_self_references, bind_strong_keys, resolve
 from factloom.operators.nearest import nearest
 
 
@@ -41,3 +42,40 @@ def test_nearest_equals_brute_force(spark):
 
 def test_vectors_meet_queries_without_a_nested_loop(spark, sf_dir):
     assert "NestedLoop" not in plan_of(entry.queries()["cosine_topk"](spark, sf_dir))
+
+
+def stated(spark, n):
+    """Facts of one document: on firms by name, on 'the Company', and by number."""
+    texts = [("the Company", None), ("Acme Ltd", None), (f"Firm {n}", "CIN U12345DL2001PTC000001")]
+    rows = [(f"f{k}", "doc", 1, *texts[k % 3], "revenue", str(k)) for k in range(n)]
+    rows.append(("g", "doc", 1, "Acme Ltd", "CIN L00001MH1995PLC000007", "tax", "5"))
+    return resolve(spark.createDataFrame(rows, "fact_id string, source_doc string, page int, subject string, evidence_span string, attribute string, value_raw string"))
+
+
+@contextlib.contextmanager
+def settings(spark, **values):
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_facts_of_one_document_are_bound_in_many_tasks(spark):
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        facts = stated(spark, 3000)
+        selves = bind_self_references(facts.where("subject = 'the Company' or fact_id = 'g'"))
+        names = bind_strong_keys(facts.where("subject = 'Acme Ltd'"))
+        for bound, key in ((selves, "CIN:L00001MH1995PLC000007"), (names, "CIN:L00001MH1995PLC000007")):
+            rows = bound.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.min("subject_key").alias("low"), F.max("subject_key").alias("high")).collect()
+            assert sum(r.n for r in rows) == 1001 and {r.low for r in rows} == {r.high for r in rows} == {key}
+            assert max(r.n for r in rows) < 600
+
+
+def test_facts_with_stated_identifiers_are_not_moved(spark):
+    facts = bind_strong_keys(bind_self_references(stated(spark, 30).where("subject like 'Firm%'")))
+    assert "Exchange" not in plan_of(facts) and facts.count() == 10
