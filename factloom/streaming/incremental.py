@@ -4,7 +4,8 @@ The store's content keys make every step repeatable. A batch's relationships
 are stored before its facts, so facts that are stored have theirs: a batch that
 failed half way still counts as new when it is replayed, and one that is done
 changes nothing. The pool isn't a stream: facts have no event time that would
-bound a stream-to-stream join, so each batch joins the stored table.
+bound a stream-to-stream join, so each batch joins the stored table. Batches
+of new facts are added to the stored tables, which aren't written again.
 """
 
 from __future__ import annotations
@@ -26,14 +27,23 @@ def reconcile_batch(store: SnapshotStore, facts: DataFrame, replace_pages: bool
     With ``replace_pages`` the batch takes the place of all facts stored for
     the pages that it has.
     """
-    normalized = written(normalize_facts(facts), "batch")
     known = store.read("facts")
     if replace_pages and known is not None:
+        normalized = written(normalize_facts(facts), "batch")
         known = known.join(facts.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
-    pool = written(store.merged("facts", normalized, known), "pool")
-    pairs = find_candidates(pool, new_fact_ids=normalized.select("fact_id"))
+        version = pool = written(store.merged("facts", normalized, known), "pool")
+        pairs = find_candidates(pool, new_fact_ids=normalized.select("fact_id"))
+    else:
+        version = store.stage("facts", normalize_facts(facts))
+        if known is None:
+            pairs = find_candidates(version.rows)
+        elif version.before is None:
+            pairs = find_candidates(version.rows, new_fact_ids=version.incoming.select("fact_id"))
+        else:
+            pool = version.before.withColumn("is_new", F.lit(False)).unionByName(version.incoming.withColumn("is_new", F.lit(True)))
+            pairs = find_candidates(pool)
     store.upsert("relationships", relationships(judge(pairs)))
-    store.publish("facts", pool)
+    store.publish("facts", version)
 
 
 def new_facts_only(store: SnapshotStore, facts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from factloom.operators.facts import bind_self_references, bind_strong_keys, resolve
 from factloom.operators.nearest import nearest
+from factloom.sources.store import SnapshotStore
 
 
 def plan_of(df):
@@ -79,3 +80,31 @@ def test_facts_of_one_document_are_bound_in_many_tasks(spark):
 def test_facts_with_stated_identifiers_are_not_moved(spark):
     facts = bind_strong_keys(bind_self_references(stated(spark, 30).where("subject like 'Firm%'")))
     assert "Exchange" not in plan_of(facts) and facts.count() == 10
+
+
+def test_batches_are_added_to_the_store(spark, tmp_path):
+    store = SnapshotStore(spark, "file://" + str(tmp_path / "store"))
+
+    def rows(*values):
+        return spark.createDataFrame([(k, v, "t0") for k, v in values], "fact_id string, unit string, created_at string").repartition(2)
+
+    def folders():
+        return sorted(p.name for p in (tmp_path / "store" / "facts").iterdir())
+
+    def held():
+        return sorted((r.fact_id or "", r.unit) for r in store.read("facts").collect())
+
+    store.upsert("facts", rows(("a", "1"), ("b", "2"), ("b", "1")))
+    store.upsert("facts", rows(("c", "3"), (None, "x")))
+    store.stage("facts", rows(("z", "9")))  # a failed batch
+    assert held() == [("", "x"), ("a", "1"), ("b", "1"), ("c", "3")]
+    store.upsert("facts", rows(("d", "4")))
+    assert folders() == ["v=1", "v=2~1", "v=3~2"] and store.versions("facts") == [1, 2, 3]
+    store.upsert("facts", rows(("a", "7"), ("e", "5"), ("e", "6")))  # a known key: the table is written whole
+    assert folders()[-1] == "v=4" and {k: v for k, v in held() if k} == {"a": "7", "b": "1", "c": "3", "d": "4", "e": "5"}
+    store.vacuum("facts", 1)
+    assert folders() == ["v=4"] and store.read("facts").count() == 6
+    store.upsert("facts", rows(("f", "6")))
+    store.upsert("facts", rows(("g", "6")))
+    store.vacuum("facts", 1)
+    assert store.versions("facts") == [6] and store.read("facts").count() == 8
