@@ -8,7 +8,6 @@ only quotes that neither finds reach the fuzzy Arrow UDF.
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -50,6 +49,53 @@ def is_verbatim(span: Column, page: Column, exact: bool = True) -> Column:
     return stated & is_true(found)
 
 
+def _run(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many signs from two places on are equal, ``most`` at most."""
+    size, step = 0, 64
+    while step:
+        if size + step <= most and a[i + size : i + size + step] == b[j + size : j + size + step]:
+            size += step
+        else:
+            step //= 2
+    return size
+
+
+def matched_signs(a: str, b: str) -> int:
+    """Signs in the matching blocks of two texts, as ``difflib.SequenceMatcher`` finds them without junk.
+
+    The longest common run, the first in ``a`` and then in ``b`` of equals, and
+    so on to its left and right. Runs are sought by ``str.find`` for one sign
+    more than the longest so far, not sign by sign.
+    """
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        i, a_end, b_start, b_end = todo.pop()
+        start, place, best, a_start = 0, 0, 0, i
+        while i + best < a_end:
+            found = b.find(a[i : i + best + 1], b_start, b_end)
+            while found >= 0:
+                size = best + 1
+                start, place, best = i, found, size + _run(a, i + size, b, found + size, min(a_end - i, b_end - found) - size)
+                found = b.find(a[i : i + best + 1], b_start, b_end) if i + best < a_end else -1
+            i += 1
+        if best:
+            total += best
+            if a_start < start and b_start < place:
+                todo.append((a_start, start, b_start, place))
+            if start + best < a_end and place + best < b_end:
+                todo.append((start + best, a_end, place + best, b_end))
+    return total
+
+
+def _sign_counts(tokens: list[str], signs: np.ndarray) -> np.ndarray:
+    """How often each token has each of some signs, which are sorted."""
+    text = np.array(list("".join(tokens)))
+    at = np.minimum(np.searchsorted(signs, text), len(signs) - 1)
+    owner = np.repeat(np.arange(len(tokens)), [len(token) for token in tokens])
+    known = signs[at] == text
+    return np.bincount(owner[known] * len(signs) + at[known], minlength=len(tokens) * len(signs)).reshape(len(tokens), len(signs))
+
+
 def fuzzy_window(quote: str, page: str, min_score: float = MIN_SCORE) -> tuple[float, str] | None:
     """Score and text of the run of words most like a quote, two words longer or shorter at most.
 
@@ -59,14 +105,14 @@ def fuzzy_window(quote: str, page: str, min_score: float = MIN_SCORE) -> tuple[f
     number of words, then by place.
     """
     needle, words = fold(quote), (page or "").split()
-    tokens = [fold(word) for word in words]
+    tokens = page.lower().split() if page and page.isascii() else [fold(word) for word in words]
     words, tokens = [w for w, t in zip(words, tokens) if t], [t for t in tokens if t]
     if not needle or not tokens:
         return None
     wanted = needle.count(" ") + 1
     signs, have = np.unique(list(needle), return_counts=True)
     sums = np.zeros((len(tokens) + 1, len(signs)), np.int64)
-    sums[1:] = np.cumsum([[token.count(sign) for sign in signs] for token in tokens], axis=0)
+    sums[1:] = np.cumsum(_sign_counts(tokens, signs), axis=0)
     ends = np.concatenate(([0], np.cumsum([len(token) for token in tokens])))
     widths = [w for w in range(max(1, wanted - 2), wanted + 3) if w <= len(tokens)] or [len(tokens)]
     runs = []
@@ -75,13 +121,12 @@ def fuzzy_window(quote: str, page: str, min_score: float = MIN_SCORE) -> tuple[f
         size = ends[width:] - ends[:-width] + width - 1
         bound = 2 * np.minimum(counts, have).sum(1) / (size + len(needle))
         runs += [(-bound[at], width, at) for at in np.flatnonzero(bound >= min_score).tolist()]
-    matcher, best = SequenceMatcher(autojunk=False), None
-    matcher.set_seq2(needle)
+    best = None
     for bound, width, at in sorted(runs):
         if best and -bound < -best[0]:
             break
-        matcher.set_seq1(" ".join(tokens[at : at + width]))
-        score = matcher.ratio()
+        run = " ".join(tokens[at : at + width])
+        score = 2.0 * matched_signs(run, needle) / (len(run) + len(needle))
         if score >= min_score and (best is None or (-score, width, at) < best):
             best = -score, width, at
     return best and (-best[0], " ".join(words[best[2] : best[2] + best[1]]))
