@@ -10,12 +10,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.base import trimmed
+from ..functions.base import in_slices, trimmed
 from ..functions.identity import text_hash
 from ..functions.units import has_digit, numeric_claim
 from ..session import written
@@ -28,6 +28,8 @@ WRAPPERS = ("facts", "results", "data", "items")
 FACT_FIELDS = ("subject", "subject_key", "attribute", "value_raw", "unit", "period", "scope", "basis", "vintage", "evidence_span")
 _FACT = T.StructType([*(T.StructField(f, T.StringType()) for f in FACT_FIELDS), T.StructField("confidence", T.DoubleType())])
 PAYLOAD = T.StructType([T.StructField("error", T.StringType()), T.StructField("facts", T.ArrayType(_FACT))])
+_ARROW_FACT = pa.struct([*((f, pa.string()) for f in FACT_FIELDS), ("confidence", pa.float64())])
+_ARROW_PAYLOAD = pa.struct([("error", pa.string()), ("facts", pa.list_(_ARROW_FACT))])
 
 
 def strip_code_fences(text: Column) -> Column:
@@ -97,16 +99,17 @@ def payload_facts(text: str | None) -> list[dict]:
     return [fact for fact in map(coerce_fact, payload) if fact]
 
 
-@F.pandas_udf(PAYLOAD)
-def parse_payload(reply: pd.Series) -> pd.DataFrame:
+def _payload(text: str | None) -> dict:
+    try:
+        return {"error": None, "facts": payload_facts(text)}
+    except ValueError as problem:
+        return {"error": str(problem), "facts": []}
+
+
+@F.arrow_udf(PAYLOAD)
+def parse_payload(reply: pa.Array) -> pa.Array:
     """``struct<error, facts>`` of replies whose code fences are gone."""
-    rows = []
-    for text in reply:
-        try:
-            rows.append((None, payload_facts(text)))
-        except ValueError as problem:
-            rows.append((str(problem), []))
-    return pd.DataFrame(rows, columns=["error", "facts"])
+    return in_slices(reply, _ARROW_PAYLOAD, lambda texts: list(map(_payload, texts)))
 
 
 def replay(replies: DataFrame) -> Proposer:
