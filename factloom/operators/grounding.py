@@ -11,11 +11,12 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.base import collapsed, is_true
+from ..functions.base import collapsed, in_slices, is_true
 from ..session import written
 
 MIN_SCORE = 0.85
@@ -37,9 +38,9 @@ def fold(text: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", text or "").translate(_TABLE).casefold().split())
 
 
-@F.pandas_udf(T.StringType())
-def normalize_text(text: pd.Series) -> pd.Series:
-    return text.map(fold, na_action=None)
+@F.arrow_udf(T.StringType())
+def normalize_text(text: pa.Array) -> pa.Array:
+    return in_slices(text, pa.string(), lambda values: list(map(fold, values)))
 
 
 def is_verbatim(span: Column, page: Column, exact: bool = True) -> Column:

@@ -4,10 +4,16 @@ import contextlib
 import io
 import math
 import random
+import time
+from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 import __spark_entry__ as entry
+from factloom.functions.base import in_slices
+from factloom.operators import extraction, grounding
 from factloom.operators.facts import bind_self_references, bind_strong_keys, resolve
 from factloom.operators.nearest import nearest
 from factloom.sources.store import SnapshotStore
@@ -108,3 +114,34 @@ def test_batches_are_added_to_the_store(spark, tmp_path):
     store.upsert("facts", rows(("g", "6")))
     store.vacuum("facts", 1)
     assert store.versions("facts") == [6] and store.read("facts").count() == 8
+
+
+def test_signs_in_common_are_those_of_difflib():
+    draw = random.Random(3)
+    for _ in range(1500):
+        signs = draw.choice(["ab", "abc ", "abcdefgh ", "aé ß"])
+        a = [draw.choice(signs) for _ in range(draw.randint(0, 60))]
+        b = list(a) if draw.random() < 0.5 else [draw.choice(signs) for _ in range(draw.randint(0, 60))]
+        for _ in range(draw.randint(0, 6)):
+            k = draw.randint(0, len(b))
+            b[k : k + draw.randint(0, 3)] = draw.choice(signs)
+        a, b = "".join(a), "".join(b)
+        assert grounding.matched_signs(a, b) == sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_long_windows_are_scored_without_a_scan_of_all_pairs_of_signs():
+    draw = random.Random(4)
+    words = ["".join(draw.choice("etaoin") for _ in range(5)) for _ in range(4000)]
+    page, quote = " ".join(words), " ".join(words[:1] + words[2:])
+    began = time.process_time()
+    score, text = grounding.fuzzy_window(quote, page)
+    assert score > 0.99 and text == page and time.process_time() - began < 5  # over a minute sign by sign
+
+
+def test_batches_become_python_objects_a_few_at_a_time():
+    seen = []
+    got = in_slices(pa.array(["a"] * 1000 + [None]), pa.string(), lambda values: seen.append(len(values)) or values)
+    assert got.to_pylist() == ["a"] * 1000 + [None] and max(seen) <= 256
+    assert in_slices(pa.array([], pa.string()), pa.string(), list).to_pylist() == []
+    for udf in (grounding.normalize_text, extraction.parse_payload):
+        assert udf.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
